@@ -53,14 +53,13 @@ def with_position(df: DataFrame, order: Sequence[Column], position: str = "pos",
           for v, name in running.items()])
     if not group:
         return out
-    starts = out.groupBy(*group).agg(
+    starts = out.groupBy(*[F.col(g).alias(f"_k_{g}") for g in group]).agg(
         F.min(position).alias("_p0"), *[F.min(n).alias(f"_g_{n}") for n in running.values()])
-    same = [out[g].eqNullSafe(starts[g]) for g in group]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return out.join(starts, cond).select(
-        *[out[c] for c in df.columns],
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    return out.join(starts, same).select(
+        *[F.col(c) for c in df.columns],
         (F.col(position) - F.col("_p0")).alias(position),
         *[(F.col(n) - F.col(f"_g_{n}")).alias(n) for n in running.values()])
 

@@ -222,7 +222,7 @@ def playlist_reorder(spark, sf):
     return pl.reorder(rows, moves)
 
 
-@query("recently_played", oracle("feedback", "SELECT to_id, at FROM feedback WHERE action IN ('accepted','played') ORDER BY at DESC, id DESC LIMIT 20"))
+@query("recently_played", oracle("feedback", 'SELECT to_id, "at" FROM feedback WHERE action IN (\'accepted\',\'played\') ORDER BY "at" DESC, id DESC LIMIT 20'))
 def recently_played(spark, sf):
     return fb.recently_played(v.feedback(spark, sf))
 
@@ -279,7 +279,7 @@ def stems_plausible(spark, sf):
     return ca.stems_plausible(stems, jobs)
 
 
-@query("expire_results", oracle("job_events", "SELECT event_id, job_id, status FROM job_events WHERE status IN ('done','failed','cancelled') AND at < TIMESTAMP '2024-01-15'"))
+@query("expire_results", oracle("job_events", "SELECT event_id, job_id, status FROM job_events WHERE status IN ('done','failed','cancelled') AND event_id IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15')"))
 def expire_results(spark, sf):
     jobs = v.job_events(spark, sf).withColumnRenamed("at", "updated_at")
     return ca.expire_results(jobs, F.lit("2024-01-15").cast("timestamp")).select("event_id", "job_id", "status")

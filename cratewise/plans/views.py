@@ -288,8 +288,8 @@ ORACLE_VIEWS["eff"] = """eff AS (SELECT *,
   FROM tracks)"""
 ORACLE_VIEWS["feedback"] = """feedback AS (SELECT event_id AS id, user_id AS from_id, event_id % 200 AS to_id,
   CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'view' THEN 'played' WHEN 'click' THEN 'skipped' ELSE 'shown' END AS action,
-  value AS predicted, (event_id % 8)::INTEGER AS rank, epoch_us(ts) AS at FROM events)"""
-ORACLE_VIEWS["job_events"] = """job_events AS (SELECT event_id, user_id AS job_id, event_id % 3 AS run_id, ts AS at,
+  value AS predicted, (event_id % 8)::INTEGER AS rank, epoch_us(ts) AS "at" FROM events)"""
+ORACLE_VIEWS["job_events"] = """job_events AS (SELECT event_id, user_id AS job_id, event_id % 3 AS run_id, ts AS "at",
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
   CASE WHEN event_type = 'error' THEN (['timeout','decode','worker_crash','storage','service_unavailable','worker_message'])[event_id % 6 + 1] END AS error_code
   FROM events)"""

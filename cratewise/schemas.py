@@ -3,8 +3,6 @@ listing never reads them; automatic and manual values are separate columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 ANALYSIS_VERSION = 3
 
 ANCHOR = "struct<time_sec:double,beat_index:int,bpm:double>"
@@ -24,17 +22,17 @@ ANALYSIS = ("struct<tempo:struct<bpm:double,confidence:double>,"
             "vocal_coverage:double,"
             "structure:struct<sections:array<struct<label:string>>>>")
 
-TRACKS = T.StructType.fromDDL(
+TRACKS = (
     "id bigint,name string,content_hash string,audio_hash string,relative_path string,"
     "file_path string,mime_type string,size_bytes bigint,duration_sec double,added_at bigint,"
     f"tags {TAGS},analysis {ANALYSIS},analysis_version int,analysis_error string,"
     f"manual_bpm double,manual_grid {GRID},manual_key_tonic int,manual_key_mode string,"
     f"reviewed_at bigint,grid_locked boolean,cues array<{CUE}>,has_fingerprint boolean")
 
-FRAMES = T.StructType.fromDDL("track_id bigint,frame bigint,mags array<double>")
-PCM = T.StructType.fromDDL(
+FRAMES = ("track_id bigint,frame bigint,mags array<double>")
+PCM = (
     "track_id bigint,channel int,chunk bigint,start_sample bigint,samples array<double>")
-JOB_EVENTS = T.StructType.fromDDL(
+JOB_EVENTS = (
     "event_id bigint,job_id bigint,run_id bigint,at timestamp,status string,error_code string")
-PROVENANCE = T.StructType.fromDDL(
+PROVENANCE = (
     "track_id bigint,analyzer string,version string,params_hash string")
