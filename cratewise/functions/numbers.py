@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def half_up(col: Column) -> Column:
@@ -45,3 +45,12 @@ def fold_range(value: Column, low: float, high: float, steps: int = 8) -> Column
     downs = corrected(F.ceil(log2(lifted / F.lit(high))),
                       lambda n: lifted / F.pow(F.lit(2.0), n) <= F.lit(high))
     return lifted / F.pow(F.lit(2.0), downs)
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use many times, computed once per row.
+
+    Stacked projections are merged by the optimiser, which copies an expression
+    into every use; a one-row generator in between keeps it a plain column.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cratewise.functions.numbers import clamp01
+from cratewise.functions.numbers import clamp01, settle
 from cratewise.operators.ordered import with_halo
 from cratewise.operators.tempo import pack_series
 from cratewise.schemas import ANCHOR
@@ -201,14 +201,13 @@ def segments(anchors: Column, duration: Column) -> Column:
 
 def with_segments(grids: DataFrame) -> DataFrame:
     """``grids(anchors, duration_sec, ...)`` plus ``segs`` with the running beat index."""
-    raw = grids.withColumn("_s", segments(F.col("anchors"), F.col("duration_sec")))
+    raw = settle(grids, _s=segments(F.col("anchors"), F.col("duration_sec")))
     start = F.struct(F.lit(0).cast("bigint").alias("i"), F.array().cast(
         "array<struct<t:double,step:double,k0:bigint,k1:bigint,i0:bigint>>").alias("out"))
     folded = F.aggregate("_s", start, lambda acc, x: F.struct(
         (acc["i"] + x["k1"] - x["k0"] + 1).alias("i"),
         F.array_append(acc["out"], F.struct(x["t"], x["step"], x["k0"], x["k1"], acc["i"].alias("i0"))).alias("out")))
-    return raw.withColumn("segs", folded["out"]).withColumn("beat_count", F.aggregate(
-        "_s", F.lit(0).cast("bigint"), lambda a, x: a + x["k1"] - x["k0"] + 1)).drop("_s")
+    return settle(raw, _f=folded).withColumns({"segs": F.col("_f.out"), "beat_count": F.col("_f.i")}).drop("_s", "_f")
 
 
 def beat_time(index: Column) -> Column:
@@ -246,25 +245,26 @@ def bar_index_at(grids: DataFrame, position: str) -> DataFrame:
     """Adds ``bar``: bar number of a time on the row's grid, -1 before the downbeat."""
     g = with_segments(grids)
     down = F.coalesce(first_beat_from(F.col("first_downbeat_sec") - 1e-6), F.lit(0))
-    at = beat_at_or_before(F.col(position), 1e-9)
+    g = settle(g, _down=down, _at=beat_at_or_before(F.col(position), 1e-9))
+    at, down = F.col("_at"), F.col("_down")
     return g.withColumn("bar", F.when(at.isNull() | (at < down), -1).otherwise(
-        F.floor((at - down) / F.col("beats_per_bar"))).cast("bigint")).drop("segs", "beat_count")
+        F.floor((at - down) / F.col("beats_per_bar"))).cast("bigint")).drop("segs", "beat_count", "_down", "_at")
 
 
 def nearest_beat(position: Column) -> Column:
-    """Time of the beat nearest to a time; the earlier one wins a tie."""
-    at = F.coalesce(beat_at_or_before(position), F.lit(0).cast("bigint"))
-    here, following = beat_time(at), beat_time(at + 1)
+    """Time of the beat nearest to a time, ``_at`` being the one before it; the earlier wins a tie."""
+    here, following = beat_time(F.col("_at")), beat_time(F.col("_at") + 1)
     return F.when(following.isNotNull() & (F.abs(following - position) < F.abs(here - position)), following).otherwise(here)
 
 
 def snap_to_beat(grids: DataFrame, position: str) -> DataFrame:
     """Adds ``nearest_sec``, the shift that puts a beat on the time, and the new downbeat."""
-    g = with_segments(grids).withColumn("nearest_sec", nearest_beat(F.col(position)))
+    g = settle(with_segments(grids), _at=F.coalesce(beat_at_or_before(F.col(position)), F.lit(0).cast("bigint")))
+    g = settle(g, nearest_sec=nearest_beat(F.col(position)))
     pos, near = F.col(position), F.col("nearest_sec")
     return (g.withColumn("shift_sec", F.when(F.col("beat_count") == 0, pos).otherwise(pos - near))
             .withColumn("new_downbeat_sec", F.when(F.col("beat_count") == 0, pos).otherwise(near))
-            .drop("segs", "beat_count"))
+            .drop("segs", "beat_count", "_at"))
 
 
 def phase_align(pairs: DataFrame, bar: bool = False) -> DataFrame:
@@ -276,11 +276,11 @@ def phase_align(pairs: DataFrame, bar: bool = False) -> DataFrame:
     """
     o = with_segments(pairs.select("*", F.struct("anchors", "duration_sec").alias("_own"))
                       .withColumns({"anchors": F.col("o_anchors"), "duration_sec": F.col("o_duration_sec")}))
-    i = F.coalesce(beat_at_or_before(F.col("o_position_sec"), 1e-6), F.lit(0).cast("bigint"))
-    start = beat_time(i)
-    length = beat_time(F.least(i + 1, F.col("beat_count") - 1)) - start
-    o = (o.withColumn("_phase", F.when((F.col("beat_count") >= 2) & (length > 0), (F.col("o_position_sec") - start) / length))
-         .drop("segs", "beat_count")
+    o = settle(o, _i=F.coalesce(beat_at_or_before(F.col("o_position_sec"), 1e-6), F.lit(0).cast("bigint")))
+    o = settle(o, _start=beat_time(F.col("_i")), _next=beat_time(F.least(F.col("_i") + 1, F.col("beat_count") - 1)))
+    length = F.col("_next") - F.col("_start")
+    o = settle(o, _phase=F.when((F.col("beat_count") >= 2) & (length > 0), (F.col("o_position_sec") - F.col("_start")) / length))
+    o = (o.drop("segs", "beat_count", "_i", "_start", "_next")
          .withColumns({"anchors": F.col("_own.anchors"), "duration_sec": F.col("_own.duration_sec")}))
     m = with_segments(o)
     mine = F.coalesce(beat_at_or_before(F.col("position_sec"), 1e-6), F.lit(0).cast("bigint"))
@@ -288,7 +288,7 @@ def phase_align(pairs: DataFrame, bar: bool = False) -> DataFrame:
         per = F.col("beats_per_bar")
         mine = F.floor(mine / per + 0.5) * per
         mine = F.greatest(F.lit(0), F.least(mine, F.col("beat_count") - 1 - per))
-    begin = beat_time(mine)
-    own = beat_time(F.least(mine + 1, F.col("beat_count") - 1)) - begin
-    return m.withColumn("seek_sec", F.when(F.col("beat_count") >= 2, begin + F.col("_phase") * own)).drop(
-        "segs", "beat_count", "_own", "_phase")
+    m = settle(m, _m=mine)
+    m = settle(m, _begin=beat_time(F.col("_m")), _end=beat_time(F.least(F.col("_m") + 1, F.col("beat_count") - 1)))
+    return m.withColumn("seek_sec", F.when(F.col("beat_count") >= 2, F.col("_begin") + F.col("_phase") * (
+        F.col("_end") - F.col("_begin")))).drop("segs", "beat_count", "_own", "_phase", "_m", "_begin", "_end")

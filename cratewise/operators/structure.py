@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cratewise.functions.numbers import clamp01
+from cratewise.functions.numbers import clamp01, settle
 from cratewise.operators.beats import beat_time, first_beat_from, with_segments
 from cratewise.operators.ordered import with_halo
+from cratewise.session import cut_lineage
 
 MIN_BARS_BETWEEN = 8
 BOUNDARY_SHIFT = 0.25
@@ -18,41 +19,42 @@ def bar_ranges(grids: DataFrame) -> DataFrame:
     Bar n starts on beat downbeat + (n - 1) * beats per bar, by arithmetic on
     the anchors; a downbeat at time zero adds no bar of its own.
     """
-    g = with_segments(grids).withColumn("_d", first_beat_from(F.col("first_downbeat_sec") - 1e-6))
-    per = F.col("beats_per_bar")
+    per, last = F.col("beats_per_bar"), F.col("beat_count") - 1
+    g = settle(with_segments(grids), _d=first_beat_from(F.col("first_downbeat_sec") - 1e-6))
     # skip a beat that is not after zero or not before the end
-    g = g.withColumn("_d", F.when(beat_time(F.col("_d")) > 0, F.col("_d")).otherwise(F.col("_d") + per))
-    last = F.col("beat_count") - 1
-    last = F.when(beat_time(last) < F.col("duration_sec"), last).otherwise(last - 1)
-    n = F.when(F.col("_d") <= last, F.floor((last - F.col("_d")) / per) + 1).otherwise(0).cast("bigint")
-    g = g.withColumn("bar_count", F.coalesce(n, F.lit(0)) + 1)
+    g = settle(g, _first=F.when(beat_time(F.col("_d")) > 0, F.col("_d")).otherwise(F.col("_d") + per),
+               _last=F.when(beat_time(last) < F.col("duration_sec"), last).otherwise(last - 1))
+    n = F.when(F.col("_first") <= F.col("_last"), F.floor((F.col("_last") - F.col("_first")) / per) + 1).otherwise(0)
+    g = settle(g, bar_count=F.coalesce(n, F.lit(0)).cast("bigint") + 1)
     rows = g.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bar_count") - 1)).alias("bar"))
 
     def start(bar: Column) -> Column:
-        return F.when(bar == 0, 0.0).otherwise(beat_time(F.col("_d") + (bar - 1) * per))
-    return rows.select("track_id", "duration_sec", "bar", start(F.col("bar")).alias("start_sec"),
-                       F.when(F.col("bar") + 1 < F.col("bar_count"), start(F.col("bar") + 1))
+        return F.when(bar == 0, 0.0).otherwise(beat_time(F.col("_first") + (bar - 1) * per))
+    rows = settle(rows, start_sec=start(F.col("bar")), _next=start(F.col("bar") + 1))
+    return rows.select("track_id", "duration_sec", "bar", "start_sec",
+                       F.when(F.col("bar") + 1 < F.col("bar_count"), F.col("_next"))
                        .otherwise(F.col("duration_sec")).alias("end_sec"), "bar_count")
 
 
-def mean_over_range(ranges: DataFrame, curve: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def mean_over_range(ranges: DataFrame, curve: DataFrame, value: str) -> DataFrame:
     """Mean of a per-second curve over [start_sec, end_sec), weighted by overlap.
 
     A range emits the seconds it covers and joins on (track, second): no range
     condition, and no track can make a hot key. A missing second counts as 0.
     """
     low, high = F.floor("start_sec"), F.ceil("end_sec")
-    pieces = (ranges.where(F.col("end_sec") > F.col("start_sec"))
-              .select("track_id", *keys, "start_sec", "end_sec", F.explode(F.sequence(low, high - 1)).alias("sec")))
+    covered = F.when(F.col("end_sec") > F.col("start_sec"), F.sequence(low, high - 1))
+    pieces = ranges.select("*", F.explode_outer(covered).alias("sec"))
     overlap = F.least(F.col("end_sec"), F.col("sec") + 1) - F.greatest(F.col("start_sec"), F.col("sec"))
+    # The other range columns hang on the keys; grouping by all of them keeps
+    # them without a join back.
     sums = (pieces.join(curve.select("track_id", "sec", value), ["track_id", "sec"], "left")
-            .groupBy("track_id", *keys).agg(F.sum(F.coalesce(value, F.lit(0.0)) * overlap).alias("_s"), F.sum(overlap).alias("_w")))
-    return ranges.join(sums, ["track_id", *keys], "left").withColumn(
-        value, F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(0.0)).drop("_s", "_w")
+            .groupBy(*ranges.columns).agg(F.sum(F.coalesce(value, F.lit(0.0)) * overlap).alias("_s"), F.sum(overlap).alias("_w")))
+    return sums.withColumn(value, F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(0.0)).drop("_s", "_w")
 
 
 def bars(grids: DataFrame, curve: DataFrame) -> DataFrame:
-    return mean_over_range(bar_ranges(grids), curve, "energy", ["bar"])
+    return mean_over_range(bar_ranges(grids), curve, "energy")
 
 
 def section_boundaries(bars_: DataFrame, chunk: int = 1024) -> DataFrame:
@@ -75,23 +77,26 @@ def section_boundaries(bars_: DataFrame, chunk: int = 1024) -> DataFrame:
 
 def sections(bars_: DataFrame, curve: DataFrame, vocal: bool = True, chunk: int = 1024) -> DataFrame:
     """Labelled sections with energy relative to the loudest one of the track."""
+    bars_ = cut_lineage(bars_)  # read three times below
     b = section_boundaries(bars_, chunk)
     starts = b.join(bars_.select("track_id", "bar", "start_sec", "duration_sec"), ["track_id", "bar"])
     nxt = starts.select("track_id", (F.col("section") - 1).alias("section"), F.col("start_sec").alias("_end"))
     ranges = starts.join(nxt, ["track_id", "section"], "left").select(
         "track_id", "section", "start_sec", F.coalesce("_end", "duration_sec").alias("end_sec"), "duration_sec")
-    e = mean_over_range(ranges, curve, "energy", ["section"])
+    e = mean_over_range(ranges, curve, "energy")
     if vocal:
-        e = mean_over_range(e, curve, "vocal", ["section"])
+        e = mean_over_range(e, curve, "vocal")
     else:
         e = e.withColumn("vocal", F.lit(0.35))
+    e = cut_lineage(e)
     per = e.groupBy("track_id").agg(F.greatest(F.max("energy"), F.lit(1e-9)).alias("_peak"), F.count(F.lit(1)).alias("section_count"))
     rel = e.join(per, "track_id").withColumn("energy", F.col("energy") / F.col("_peak"))
     following = rel.select("track_id", (F.col("section") - 1).alias("section"), F.col("energy").alias("_next"))
     full = rel.join(following, ["track_id", "section"], "left").withColumns({
         "energy_delta": F.coalesce("_next", "energy") - F.col("energy"),
         "position": F.when(F.col("duration_sec") > 0, F.col("start_sec") / F.col("duration_sec")).otherwise(0.0)})
-    label = section_label()
+    full = settle(full, _l=section_label())
+    label = F.col("_l")
     return full.select("track_id", "section", "start_sec", "end_sec", "energy", "vocal", "energy_delta", "position",
                        label["label"].alias("label"), F.least(F.lit(1.0), label["confidence"]).alias("confidence"))
 
@@ -139,7 +144,7 @@ def phrases(grids: DataFrame, curve: DataFrame) -> DataFrame:
     two = edges.select("track_id", "bar", "bar_count", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("_lo").alias("start_sec"), F.col("_at").alias("end_sec")),
         F.struct(F.lit(1).alias("side"), F.col("_at").alias("start_sec"), F.col("_hi").alias("end_sec")))))
-    means = mean_over_range(two, curve, "energy", ["bar", "side"])
+    means = mean_over_range(two, curve, "energy")
     deltas = means.groupBy("track_id", "bar", "bar_count").agg(
         F.abs(F.sum(F.when(F.col("side") == 1, F.col("energy")).otherwise(-F.col("energy")))).alias("_d"))
     sums = deltas.groupBy("track_id").agg(*[x for k in PHRASE_PRIORS for x in (
