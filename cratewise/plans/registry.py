@@ -28,7 +28,8 @@ class Book:
         return add
 
 
-MODULES = ["catalog_queries", "library_queries", "ranking_queries", "duplicate_queries", "signal_queries", "feature_queries"]
+MODULES = ["catalog_queries", "library_queries", "ranking_queries", "duplicate_queries", "signal_queries", "feature_queries",
+           "file_queries", "stream_queries"]
 
 
 
