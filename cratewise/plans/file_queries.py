@@ -71,8 +71,8 @@ def written_collection(spark, sf):
   coalesce(floor(bpm * 100 + 0.5) / 100, 0) AS average_bpm,
   CASE WHEN eff_tonic IS NULL OR eff_mode IS NULL THEN '' ELSE (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[eff_tonic + 1] || CASE WHEN eff_mode = 'minor' THEN 'm' ELSE '' END END AS tonality,
   'file://localhost/Music%20%26%20more/' || replace(replace(relative_path, '#', '%23'), ' ', '%20') AS location,
-  CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN printf('%.3f', first_downbeat) || ' ' || printf('%.2f', bpm) || ' 4/4 1' ELSE '' END AS tempos,
-  array_to_string(list_concat(CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN ['Downbeat@' || printf('%.3f', first_downbeat)] ELSE [] END,
+  CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN printf('%.3f', floor(first_downbeat * 1000 + 0.5) / 1000) || ' ' || printf('%.2f', bpm) || ' 4/4 1' ELSE '' END AS tempos,
+  array_to_string(list_concat(CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN ['Downbeat@' || printf('%.3f', floor(first_downbeat * 1000 + 0.5) / 1000)] ELSE [] END,
      CASE WHEN has_cues THEN ['In@' || printf('%.3f', cue_a), 'Out@' || printf('%.3f', cue_b)] ELSE [] END), ',') AS marks FROM x"""))
 def collection_round_trip(spark, sf):
     back = co.read_collection_xml(spark, written_collection(spark, sf))

@@ -87,7 +87,16 @@ def true_peak(spark, sf):
     return pc.true_peak(v.pcm(spark, sf), PCM_CHUNK).select("track_id", round6(F.col("true_peak_dbtp")).alias("true_peak_dbtp"))
 
 
-@query("k_weight")
+_S, _H = pc.k_weight_filters(8000)
+_FILTER = (f"{_S[0]!r}::DOUBLE * s.x + {_S[1]!r}::DOUBLE * w.x0 + {_S[2]!r}::DOUBLE * w.x1 - {_S[3]!r}::DOUBLE * w.s0 - {_S[4]!r}::DOUBLE * w.s1")
+
+
+@query("k_weight", oracle("samples", f"""WITH w(track_id, channel, i, x0, x1, s0, s1, y0, y1) AS (
+  SELECT DISTINCT track_id, channel, -1::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM samples
+  UNION ALL SELECT w.track_id, w.channel, s.i, s.x, w.x0, {_FILTER}, w.s0,
+    ({_FILTER}) - 2 * w.s0 + w.s1 - {_H[3]!r}::DOUBLE * w.y0 - {_H[4]!r}::DOUBLE * w.y1, w.y0
+  FROM w JOIN samples s ON s.track_id = w.track_id AND s.channel = w.channel AND s.i = w.i + 1)
+SELECT track_id, channel, i, {sql6('y0')} AS x FROM w WHERE i >= 0""", recursive=True))
 def k_weight(spark, sf):
     w = pc.k_weight(v.pcm(spark, sf), 8000, PCM_CHUNK)
     return w.select("track_id", "channel", "start_sample", F.posexplode("samples").alias("p", "_x")).select(

@@ -83,7 +83,7 @@ def expired_leases_batch(spark, sf):
 
 
 @query("retry_backoff", oracle("job_events", """SELECT event_id, CASE WHEN coalesce(error_code, 'analysis') IN ('worker_crash','worker_message','timeout','service_unavailable') AND 1 + event_id % 4 < 3 THEN 'queued' ELSE 'failed' END AS next_status,
-  epoch_ms("at") + least(30000, 4000 * pow(2, event_id % 4))::BIGINT AS next_attempt_ms FROM job_events WHERE status = 'failed'"""))
+  epoch_us("at") // 1000 + least(30000, 4000 * pow(2, event_id % 4))::BIGINT AS next_attempt_ms FROM job_events WHERE status = 'failed'"""))
 def retry_backoff(spark, sf):
     failed = v.job_events(spark, sf).where("status = 'failed'").withColumn("attempts", F.expr("cast(1 + event_id % 4 as int)"))
     return jb.retry_plan(failed, F.unix_millis("at"), 4000).select("event_id", "next_status", "next_attempt_ms")

@@ -25,7 +25,7 @@ def export_rows(tracks: DataFrame) -> DataFrame:
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def collection_rows(rows: DataFrame, base_folder: str) -> DataFrame:
@@ -70,28 +70,26 @@ def collection_rows(rows: DataFrame, base_folder: str) -> DataFrame:
         "Location": tx.location_url(F.lit(base_folder), path), "Remixer": blank,
         "Tonality": ks.tonality(F.col("key_tonic"), F.col("key_mode")), "Label": blank, "Mix": blank}
     return g.select(*[e.alias(f"_{n}") for n, e in attributes.items()],
-                    F.when(F.col("bpm").isNull(), blank).otherwise(_fixed(F.col("bpm"), 2)).alias("_bpm_text"),
-                    F.coalesce(tempos, F.array().cast(f"array<{TEMPO}>")).alias("TEMPO"), marks.alias("POSITION_MARK")).drop("_bpm_text")
+                    F.coalesce(tempos, F.array().cast(f"array<{TEMPO}>")).alias("TEMPO"), marks.alias("POSITION_MARK"))
 
 
 def write_collection_xml(rows: DataFrame, path: str, base_folder: str, playlist: str = "Export") -> None:
-    """Write the collection and its playlist node as XML parts.
+    """Write the collection and its playlist as XML parts.
 
     ``path/collection`` holds COLLECTION parts of TRACK elements, ``path/playlist``
-    a NODE of track keys. Each task writes its own part; nothing is assembled
-    on the driver.
+    NODE parts of track keys and ``path/node`` the one NODE that names them.
+    Each task writes its own part; nothing is assembled on the driver.
     """
     xml = collection_rows(rows, base_folder)
-    (xml.write.format("xml").option("rootTag", "COLLECTION").option("rowTag", "TRACK").option("nullValue", "")
-     .mode("overwrite").save(f"{path}/collection"))
-    (xml.select(F.col("_TrackID").alias("_Key")).write.format("xml")
-     .option("rootTag", f'NODE Name="{_escape(playlist)}" Type="1" KeyType="0"').option("rowTag", "TRACK")
-     .mode("overwrite").save(f"{path}/playlist"))
 
+    def save(df: DataFrame, root: str, row: str, name: str) -> None:
+        (df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(f"{path}/{name}"))
 
-def _escape(value: str) -> str:
-    from xml.sax.saxutils import escape
-    return escape(value, {'"': "&quot;", "'": "&apos;"})
+    save(xml, "COLLECTION", "TRACK", "collection")
+    keys = xml.select(F.col("_TrackID").alias("_Key"))
+    save(keys, "NODE", "TRACK", "playlist")
+    save(keys.agg(F.count(F.lit(1)).alias("_Entries")).select(
+        F.lit(playlist).alias("_Name"), F.lit(1).alias("_Type"), F.lit(0).alias("_KeyType"), "_Entries"), "PLAYLISTS", "NODE", "node")
 
 
 READ_SCHEMA = ("_TrackID bigint,_Name string,_Artist string,_AverageBpm double,_Tonality string,_Location string,"

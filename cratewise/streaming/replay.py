@@ -7,11 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cratewise.sources.folders import scratch_folder
 
 
-def file_stream(spark: SparkSession, rows: DataFrame, order: str, files: int = 3) -> DataFrame:
-    """``rows`` written as files in ``order`` and read back as a stream, one file a batch."""
+def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 3) -> DataFrame:
+    """``rows`` replayed as a stream in ``order``: one file, and one micro-batch, per slice.
+
+    Slices are written one after the other, because a file stream takes files by
+    age and an early slice read late would count as late data.
+    """
     folder = scratch_folder(spark, "stream-in")
-    rows.repartitionByRange(files, order).write.parquet(folder)
-    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    cuts = rows.approxQuantile(order, [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows
+        if low is not None:
+            part = part.where(F.col(order) >= low)
+        if high is not None:
+            part = part.where(F.col(order) < high)
+        part.repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str, write=None):
