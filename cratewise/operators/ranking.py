@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cratewise.functions import keys as ks
 from cratewise.functions.numbers import half_up, log2, round6
 from cratewise.operators.edits import effective_bpm, effective_grid, effective_key
+from cratewise.operators.ordered import with_position
 from cratewise.session import cut_lineage
 
 # Component weights, penalties and the tempo tolerance in octaves.
@@ -84,8 +85,9 @@ def _scored(pairs: DataFrame, s, c, artist_penalty: float) -> DataFrame:
     for name, weight in WEIGHTS.items():
         total = total + F.col(f"{name}_score") * F.lit(weight)
     same_artist = F.coalesce(s("artist") == c("artist"), F.lit(False))
-    total = F.when(same_artist, total - F.lit(artist_penalty)).otherwise(total)
-    total = F.when(c("recent"), total - F.lit(RECENT_PENALTY)).otherwise(total)
+    # one copy of the sum: penalties as terms, not as branches around it
+    total = (total - F.when(same_artist, artist_penalty).otherwise(0.0)
+             - F.when(c("recent"), RECENT_PENALTY).otherwise(0.0))
     return pairs.withColumns({
         "same_artist": same_artist, "total": total,
         "score": half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100)})
@@ -178,9 +180,10 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     1. *Signatures.* Tracks equal in every scored attribute score alike, so a
        group of copies is cut to its first ``k + 1`` names, and sources are
        ranked once per signature.
-    2. *Floor.* Up to four good candidates of each (key, energy, tempo) cell,
-       at most 24 * 10 * 256 * 4 rows however large the library, are broadcast
-       and scored; the (k+1)-th best is a valid floor for the real one.
+    2. *Floor.* Up to four good candidates of each (key, energy, tempo) cell and
+       of each (key, energy) are broadcast and scored; the (k+1)-th best is a
+       valid floor for the real one. Tempi of 20 to 400 BPM fall into 140 cells,
+       so this is at most 24 * 10 * 141 * 4 rows however large the library.
     3. *Probe.* From the floor follows, per target key (and per energy level and
        section score when ``fine``), how far in tempo a candidate may be and
        still reach the floor. A source emits just those cells and equi-joins
@@ -193,14 +196,19 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     Work is quadratic only inside a cell of distinct, nearly equal tracks;
     ``fine`` (the default beyond 200 000 signatures) makes the cells smaller.
     """
-    sources = tracks.groupBy(*_SIGNATURE).agg(F.count(F.lit(1)).alias("_n"))
-    pool = tracks.where("analysed")
-    same = Window.partitionBy(*_SIGNATURE, "section_score", "recent").orderBy(*_by_name())
-    pool = (pool.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
-            .drop("_r", "analysed", "section"))
-    pool = cut_lineage(pool.withColumn("_log", log2(F.col("bpm"))))
-    sources = cut_lineage(sources.drop("_n").withColumns({
-        "sig": F.xxhash64(*_SIGNATURE), "_log": log2(F.col("bpm"))}))
+    # Name order as a number: one distributed sort instead of collated string
+    # comparisons in every later step.
+    named = with_position(tracks, _by_name(), "name_pos")
+    named = named.withColumn("_log", log2(F.col("bpm")))
+    # A source row grows into many pairs, so rows are spread evenly by count;
+    # sizes measured before the growth would put them into too few tasks.
+    tasks = int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sources = cut_lineage(named.groupBy(*_SIGNATURE, "_log").agg(F.count(F.lit(1)).alias("_n"))
+                          .repartition(tasks).withColumn("sid", F.monotonically_increasing_id()).drop("_n"))
+    c_cols = ["name_pos", "id", "artist", "bpm", "wheel", "letter", "energy", "vocal", "section_score", "recent"]
+    same = Window.partitionBy(*_SIGNATURE, "section_score", "recent").orderBy("name_pos")
+    pool = cut_lineage(named.where("analysed").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
+                       .select("_log", *c_cols))
     if fine is None:
         fine = pool.count() > 200_000
     width = 256 if fine else 64
@@ -208,40 +216,47 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     def cell(col: str, per_octave: int) -> Column:
         return F.floor(F.col(col) * per_octave)
 
-    c_cols = ["id", "name", "artist", "bpm", "wheel", "letter", "energy", "vocal", "section_score", "recent"]
-
     # 2. floor
-    best = Window.partitionBy("wheel", "letter", "energy", "_cell").orderBy(
-        "recent", F.desc("section_score"), "vocal", "id")
-    anchors = (pool.withColumn("_cell", cell("_log", 32))
-               .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= _ANCHORS_PER_CELL)
-               .select("_cell", *[F.col(c).alias(f"c_{c}") for c in c_cols]))
+    good = ["recent", F.desc("section_score"), "vocal", "id"]
+    a_cols = [F.col(c).alias(f"c_{c}") for c in c_cols]
+
+    def anchors(per: list[str], rows: int) -> DataFrame:
+        w = Window.partitionBy(*per).orderBy(*good)
+        return (pool.withColumn("_cell", cell("_log", 32)).withColumn("_r", F.row_number().over(w))
+                .where(F.col("_r") <= rows).select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(per)], *a_cols))
+
+    def floor_from(probes: DataFrame, to: list[str], table: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for i, c in enumerate(to):
+            on = on & (F.col(c) == F.col(f"_a{i}"))
+        pairs = probes.repartition(tasks, "sid").join(F.broadcast(table), on)
+        scored = _scored(pairs, F.col, lambda c: F.col(f"c_{c}"), artist_penalty).select("sid", "total")
+        w = Window.partitionBy("sid").orderBy(F.desc("total"))
+        return (scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k + 1)
+                .select("sid", F.col("total").alias("floor")))
+
     near = (sources.select("*", F.inline(F.filter(_keys_and_scores(), lambda x: x["h"] > 0.5)))
-            .withColumn("to_energy", F.explode(F.sequence(F.col("energy"), F.col("energy") + 2)))
-            .withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                                                       lambda d: cell("_log", 32) + d))))
-    near = near.join(F.broadcast(anchors), (near["to_wheel"] == anchors["c_wheel"]) & (near["to_letter"] == anchors["c_letter"])
-                     & (near["to_energy"] == anchors["c_energy"]) & (near["_cell"] == anchors["_cell"]))
-    by_score = Window.partitionBy("sig", *_SIGNATURE).orderBy(F.desc("total"))
-    scored = _scored(near, F.col, lambda c: F.col(f"c_{c}"), artist_penalty)
-    floor = (scored.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= k + 1)
-             .groupBy("sig", *_SIGNATURE).agg(F.min(F.when(F.col("_r") == k + 1, F.col("total"))).alias("floor")))
-    same_sig = F.lit(True)
-    for c in ["sig", *_SIGNATURE]:
-        same_sig = same_sig & F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))
-    sources = sources.alias("s").join(floor.alias("f"), same_sig, "left").select(
-        "s.*", F.coalesce("f.floor", F.lit(-1.0)).alias("floor"))
+            .withColumn("to_energy", F.explode(F.sequence(F.col("energy") - 1, F.col("energy") + 2))))
+    around = near.withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell("_log", 32) + d)))
+    keyed_on = ["to_wheel", "to_letter", "to_energy"]
+    in_band = floor_from(around, [*keyed_on, "_cell"], anchors(["wheel", "letter", "energy", "_cell"], _ANCHORS_PER_CELL))
+    # for sources with few tracks near their tempo
+    any_tempo = floor_from(near, keyed_on, anchors(["wheel", "letter", "energy"], _ANCHORS_PER_CELL))
+    sources = cut_lineage(
+        sources.join(in_band, "sid", "left").join(any_tempo.withColumnRenamed("floor", "_wide"), "sid", "left")
+        .withColumn("floor", F.greatest(F.coalesce("floor", F.lit(-1.0)), F.coalesce("_wide", F.lit(-1.0))))
+        .drop("_wide").repartition(tasks, "sid"))
 
     # 3. probe; a result may round up by half a point, hence the 0.01
     probes = sources.select("*", F.inline(_keys_and_scores()))
     reach = F.col("h") * WEIGHTS["key"] + WEIGHTS["vocals"]
-    cell_cols = ["wheel", "letter"]
+    cell_cols, to_cols = ["wheel", "letter"], ["to_wheel", "to_letter"]
     if fine:
         probes = (probes.withColumn("to_energy", F.explode(F.sequence(F.lit(1), F.lit(10))))
                   .withColumn("to_section", F.explode(F.array(*[F.lit(x) for x in (1.0, 0.85, 0.6, 0.5, 0.25)]))))
         reach = (reach + energy_score(F.col("energy"), F.col("to_energy")) * WEIGHTS["energy"]
                  + F.col("to_section") * WEIGHTS["section"])
-        cell_cols += ["energy", "section_score"]
+        cell_cols, to_cols = cell_cols + ["energy", "section_score"], to_cols + ["to_energy", "to_section"]
     else:
         reach = reach + WEIGHTS["energy"] + WEIGHTS["section"]
     probes = probes.withColumn("_need", (F.col("floor") - 0.01 - 1e-9 - reach) / WEIGHTS["tempo"])
@@ -251,8 +266,7 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
         mid = F.col("_log") + shift
         return F.sequence(F.floor((mid - span) * width), F.floor((mid + span) * width))
 
-    s_all = ["sig", *_SIGNATURE]
-    to_cols = ["to_wheel", "to_letter"] + (["to_energy", "to_section"] if fine else [])
+    s_all = ["sid", "floor", *_SIGNATURE]
     tight = (probes.where((F.col("_need") > 0) & (F.col("_need") <= 1))
              .select(*s_all, *to_cols, F.explode(F.concat(*[cells_around(r) for r in (-1, 0, 1)])).alias("_cell")))
     loose = probes.where(F.col("_need") <= 0).select(*s_all, *to_cols)
@@ -260,26 +274,32 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     on = F.lit(True)
     for to, c in zip(to_cols, cell_cols):
         on = on & (F.col(to) == F.col(f"c_{c}"))
-    pairs = (tight.join(targets, on & (F.col("_cell") == F.col("_c"))).drop("_cell")
-             .unionByName(loose.join(targets, on))).drop("_c", *to_cols)
-
-    # 4. score and cut
+    # Both joins multiply rows, so their partition count is fixed by the work.
+    # The key-only join has 24 keys at least; a salt spreads each over all tasks.
+    near_pairs = (tight.repartition(tasks, *to_cols, "_cell").join(targets, on & (F.col("_cell") == F.col("_c"))).drop("_cell", "_c"))
+    salt = F.pmod(F.xxhash64("c_id"), F.lit(tasks))
+    far = loose.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>")))
+    far_pairs = (far.repartition(tasks, *to_cols, "_salt").join(targets.withColumn("_c", salt), on & (F.col("_salt") == F.col("_c")))
+                 .drop("_salt", "_c"))
+    pairs = near_pairs.unionByName(far_pairs).drop(*to_cols)
+
+    # 4. score, drop what is under the floor, cut
     scored = _scored(pairs, F.col, lambda c: F.col(f"c_{c}"), artist_penalty)
-    top = Window.partitionBy(*s_all).orderBy(F.desc("score"), *_by_name("c_"))
-    lists = (scored.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)
-             .withColumn("recent", F.col("c_recent"))
-             .select(*[F.col(c).alias(f"l_{c}") for c in s_all], "_r", F.col("c_id").alias("to_id"),
-                     F.col("c_name").alias("to_name"), "score", reason_order().alias("reasons"),
-                     warnings().alias("warnings")))
-    keyed = tracks.select("id", F.xxhash64(*_SIGNATURE).alias("sig"), *_SIGNATURE)
-    match = F.col("sig") == F.col("l_sig")
+    scored = scored.where(F.col("total") > F.col("floor") - 0.01 - 1e-9)
+    top = Window.partitionBy("sid").orderBy(F.desc("score"), "c_name_pos")
+    lists = (scored.select("sid", "score", "c_name_pos", F.col("c_id").alias("to_id"), F.col("c_recent").alias("recent"),
+                           "same_artist", *[f"{n}_score" for n in WEIGHTS])
+             .withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1)
+             .select("sid", "_r", "to_id", "score", reason_order().alias("reasons"), warnings().alias("warnings")))
+    match = F.lit(True)
     for c in _SIGNATURE:
-        match = match & F.col(c).eqNullSafe(F.col(f"l_{c}"))
+        match = match & F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}"))
+    keyed = named.alias("t").join(sources.alias("s"), match).select(F.col("t.id").alias("from_id"), "sid")
     own = Window.partitionBy("from_id").orderBy("_r")
-    return (keyed.join(lists, match).where(F.col("id") != F.col("to_id"))
-            .select(F.col("id").alias("from_id"), "_r", "to_id", "to_name", "score", "reasons", "warnings")
-            .withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-            .select("from_id", "rank", "to_id", "to_name", "score", "reasons", "warnings"))
+    ranked = (keyed.join(lists, "sid").where(F.col("from_id") != F.col("to_id"))
+              .withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k))
+    names = named.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"))
+    return ranked.join(names, "to_id").select("from_id", "rank", "to_id", "to_name", "score", "reasons", "warnings")
 
 
 def transition_window(pairs: DataFrame, bars: int = 16, crossfade_sec: float | None = None) -> DataFrame:
