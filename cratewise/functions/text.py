@@ -35,11 +35,13 @@ def words(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Distinct words, then distinct adjacent pairs of the raw word list."""
-    w = words(text)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-                       F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, pairs))
+    def both(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
+                           F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.concat(w, pairs))
+    # The one-element array binds the word list, so the split runs once per row.
+    return F.get(F.transform(F.array(words(text)), both), F.lit(0))
 
 
 def pick_token(tokens: Column) -> Column:

@@ -256,7 +256,7 @@ def plan_eviction(spark, sf):
 
 
 @query("eviction_summary", oracle("cache_entries", f"""WITH {_EVICT} SELECT count(*) AS removed, coalesce(sum(size_bytes), 0)::BIGINT AS freed_bytes,
-  any_value(total) - coalesce(sum(size_bytes), 0) > {_LIMIT} AS blocked_by_pins FROM e, t WHERE total - freed_before > {_LIMIT}"""))
+  (SELECT total FROM t) - coalesce(sum(size_bytes), 0) > {_LIMIT} AS blocked_by_pins FROM e, t WHERE total - freed_before > {_LIMIT}"""))
 def eviction_summary(spark, sf):
     return ca.eviction_summary(v.cache_entries(spark, sf), _LIMIT)
 
