@@ -169,7 +169,7 @@ JOIN beats m0 ON m0.track_id = x.track_id AND m0.i = mi JOIN beats m1 ON m1.trac
 
 def grid_pairs(spark, sf):
     g = v.grids(spark, sf)
-    n = v.table(spark, sf, "events").count() // 500 + (1 if v.table(spark, sf, "events").count() % 500 else 0)
+    n = g.count()
     other = g.select(((F.col("track_id") - 1 + n) % n).alias("track_id"), F.col("anchors").alias("o_anchors"), F.col("duration_sec").alias("o_duration_sec"))
     return positions(spark, sf).join(other, "track_id")
 

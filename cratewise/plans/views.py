@@ -173,13 +173,11 @@ def pack_pcm(long: DataFrame, chunk: int) -> DataFrame:
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One grid per curve track, two anchors each."""
-    return table(spark, sf_dir, "events").where("event_id % 500 = 0").selectExpr(
-        "event_id div 500 as track_id", "500D as duration_sec", "4 as beats_per_bar",
-        "0.75D + (event_id div 500) % 4 as first_downbeat_sec",
-        """array(named_struct('time_sec', 0.25D + (event_id div 500) % 3, 'beat_index', 0,
-                 'bpm', 100D + (event_id div 500) % 7),
-                 named_struct('time_sec', 250.1D, 'beat_index', 400,
-                 'bpm', 64D + (event_id div 500) % 5)) as anchors""")
+    ids = table(spark, sf_dir, "events").selectExpr("event_id div 500 as track_id").distinct()
+    return ids.selectExpr(
+        "track_id", "500D as duration_sec", "4 as beats_per_bar", "0.75D + track_id % 4 as first_downbeat_sec",
+        """array(named_struct('time_sec', 0.25D + track_id % 3, 'beat_index', 0, 'bpm', 100D + track_id % 7),
+                 named_struct('time_sec', 250.1D, 'beat_index', 400, 'bpm', 64D + track_id % 5)) as anchors""")
 
 
 def files_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,12 +304,12 @@ ORACLE_VIEWS["samples"] = f"""s0 AS (SELECT event_id AS e, event_id // {SAMPLES_
   (value % 53::DOUBLE - 26::DOUBLE) / 61::DOUBLE AS x0 FROM events),
 samples AS (SELECT track_id, i, 0 AS channel, x0 AS x FROM s0
   UNION ALL SELECT track_id, i, 1, x0 * 0.5::DOUBLE + (e % 13) / 100::DOUBLE FROM s0)"""
-ORACLE_VIEWS["grids"] = """anchors AS (SELECT event_id // 500 AS track_id, 500::DOUBLE AS duration_sec, 4 AS beats_per_bar,
-    0.75::DOUBLE + (event_id // 500) % 4 AS first_downbeat_sec, a.n AS n,
-    CASE WHEN a.n = 0 THEN 0.25::DOUBLE + (event_id // 500) % 3 ELSE 250.1::DOUBLE END AS time_sec,
-    CASE WHEN a.n = 0 THEN 100::DOUBLE + (event_id // 500) % 7 ELSE 64::DOUBLE + (event_id // 500) % 5 END AS bpm,
+ORACLE_VIEWS["grids"] = """anchors AS (SELECT track_id, 500::DOUBLE AS duration_sec, 4 AS beats_per_bar,
+    0.75::DOUBLE + track_id % 4 AS first_downbeat_sec, a.n AS n,
+    CASE WHEN a.n = 0 THEN 0.25::DOUBLE + track_id % 3 ELSE 250.1::DOUBLE END AS time_sec,
+    CASE WHEN a.n = 0 THEN 100::DOUBLE + track_id % 7 ELSE 64::DOUBLE + track_id % 5 END AS bpm,
     CASE WHEN a.n = 0 THEN 250.1::DOUBLE ELSE 500::DOUBLE END AS end_sec
-  FROM events, range(2) a(n) WHERE event_id % 500 = 0)"""
+  FROM (SELECT DISTINCT event_id // 500 AS track_id FROM events), range(2) a(n))"""
 ORACLE_VIEWS["beats"] = """beats AS (SELECT track_id, duration_sec, beats_per_bar, first_downbeat_sec, t,
     row_number() OVER (PARTITION BY track_id ORDER BY t) - 1 AS i
   FROM (SELECT a.*, a.time_sec + k.k * (60 / a.bpm) AS t FROM anchors a, range(-2000, 2000) k(k)
