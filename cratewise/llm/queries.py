@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import quality
+from cratewise.llm import quality, secret_scan
 from cratewise.llm.text import prepare
 from cratewise.plans.registry import Book
 
@@ -21,3 +21,12 @@ def op8_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.judge_quality(docs, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@BOOK.query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, secret_scan.fit_markov(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov",
+                        F.sha2(secret_scan.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("spans")).alias("spans"))
