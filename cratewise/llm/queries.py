@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import quality, secret_scan
+from cratewise.llm import packing, quality, secret_scan
 from cratewise.llm.text import prepare
 from cratewise.plans.registry import Book
 
@@ -30,3 +30,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov",
                         F.sha2(secret_scan.span_text(F.col("base_spans")), 256).alias("base_sha256"),
                         secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@BOOK.query("op3_packed_ids")
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_matrix(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@BOOK.query("op6_exact_packing")
+def op6_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_exact(table(spark, sf_dir, "documents"), vocabulary())
