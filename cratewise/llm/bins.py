@@ -195,13 +195,20 @@ def exact_complement(counts: np.ndarray, capacity: int) -> Patterns:
     The available lengths are the index of single sums; pair and triple sums are
     looked up through it by complement, so a combination is found only while
     counts for all its parts remain. What no combination completes is packed
-    by best fit, longest first.
+    by best fit, longest first. Filling short lengths exactly can use up parts
+    that best fit needs, so several least lengths for seeking complements are
+    planned, and the plan with the fewest sequences is taken.
     """
+    plans = [_complement_from(counts, capacity, capacity * share // 16) for share in (0, 4, 6, 8, 10, 12, 14, 15)]
+    return min(plans, key=lambda p: sum(p.times))
+
+
+def _complement_from(counts: np.ndarray, capacity: int, least: int) -> Patterns:
     left, patterns, fit = counts.astype(np.int64).copy(), Patterns(capacity), BestFit(capacity)
     patterns.add((capacity,), int(left[capacity]))
     left[capacity] = 0
     rest: list[tuple[int, int]] = []
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, max(least, 1) - 1, -1):
         while left[length]:
             parts = _complement(left, length, capacity - length)
             if parts is None:
@@ -213,7 +220,8 @@ def exact_complement(counts: np.ndarray, capacity: int) -> Patterns:
             times = int((left[used] // need[used]).min())
             left -= need * times
             patterns.add((length, *parts), times)
-    for length, count in rest:
+    rest += [(int(n), int(left[n])) for n in np.flatnonzero(left)[::-1]]
+    for length, count in sorted(rest, reverse=True):
         fit.place(length, count)
     fit.close(patterns)
     return patterns

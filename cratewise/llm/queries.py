@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import packing, quality, secret_scan
+from cratewise.llm import minhash_tensor, packing, quality, secret_scan
 from cratewise.llm.text import prepare
 from cratewise.plans.registry import Book
 
@@ -47,3 +47,8 @@ def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("op6_exact_packing")
 def op6_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_exact(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@BOOK.query("op4_minhash_tensor")
+def op4_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"))
