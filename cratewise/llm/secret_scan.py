@@ -73,16 +73,16 @@ def fit_markov(docs: DataFrame, *, text: str = "text", sample: int = 5_000, smoo
     """
     body = F.col("_body")
     hit = F.rlike(body, F.lit(ASSIGN)) | F.rlike(body, F.lit(ACCESS)) | F.rlike(body, F.lit(HEX))
-    marked = (docs.select(F.coalesce(F.col(text), F.lit("")).alias("_body"))
-              .withColumn("_hit", hit).where(F.col("_hit") | F.rlike(body, F.lit(RUN))))
-    order = F.xxhash64("_body")
-    chosen = (marked.where("_hit").orderBy(order, "_body").limit(sample)
-              .unionByName(marked.where("not _hit").orderBy(order, "_body").limit(sample)))
     values = F.concat(F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(body, F.lit(ACCESS), F.lit(0)),
                       F.regexp_extract_all(body, F.lit(HEX), F.lit(0)))
     runs = F.when(F.col("_hit"), F.filter(F.array_distinct(values), lambda v: F.char_length(v) >= 12)).otherwise(
         F.array_distinct(F.regexp_extract_all(body, F.lit(RUN), F.lit(0))))
-    states = chosen.select("_hit", F.explode(runs).alias("_run")).distinct().select("_hit", _states(F.col("_run")).alias("s"))
+    marked = (docs.select(F.coalesce(F.col(text), F.lit("")).alias("_body"))
+              .withColumn("_hit", hit).where(F.col("_hit") | F.rlike(body, F.lit(RUN)))
+              .select("_hit", F.xxhash64("_body").alias("_order"), runs.alias("_runs")))
+    chosen = (marked.where("_hit").orderBy("_order", "_runs").limit(sample)
+              .unionByName(marked.where("not _hit").orderBy("_order", "_runs").limit(sample)))
+    states = chosen.select("_hit", F.explode("_runs").alias("_run")).distinct().select("_hit", _states(F.col("_run")).alias("s"))
     steps = states.select("_hit", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.get("s", i) * STATES + F.get("s", i + 1))).alias("_step"))
     counts = steps.groupBy("_step").agg(F.count_if("_hit").alias("a"), F.count_if(~F.col("_hit")).alias("b"))
