@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import minhash_tensor, packing, quality, secret_scan
+from cratewise.llm import containment, minhash_tensor, packing, pseudonyms, quality, secret_scan
 from cratewise.llm.text import prepare
 from cratewise.plans.registry import Book
 
@@ -52,3 +52,34 @@ def op6_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("op4_minhash_tensor")
 def op4_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_tensor.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# The rows are the pairs; a shingle is five lower-cased words.
+OP9_SQL = """
+with w as (
+  select 'd' as side, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all
+  select 'i', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+l as (select side, id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from w),
+s as (select distinct side, id, array_to_string(w[k:k + 4], ' ') as s
+      from (select side, id, w, unnest(range(1, len(w) - 3)) as k from l where len(w) >= 5)),
+n as (select id, count(*) as n_item from s where side = 'i' group by id)
+select d.id as doc_id, i.id as item_id, n.n_item, count(*) as n_shared
+from s d join s i on d.s = i.s and d.side = 'd' and i.side = 'i' join n on n.id = i.id
+group by d.id, i.id, n.n_item having 100 * count(*) >= 80 * n.n_item
+"""
+
+
+@BOOK.query("op9_containment", OP9_SQL)
+def op9_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# A key of the queries over test tables; a caller of the operator brings a secret one.
+QUERY_KEY = b"key of the registered query"
+
+
+@BOOK.query("op10_pseudonyms")
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, QUERY_KEY)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A word is a run of characters other than these six.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -23,11 +23,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df, columns: list[str] | None = None):
-    """The columns needed, dealt anew over the tasks where the input has few partitions."""
-    return df.select(*columns) if columns else df
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_SPACE))
@@ -38,13 +33,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shingle_hashes(tokens: Column, size: int) -> Column:
-    """64-bit hashes of the runs of ``size`` words; fewer words make one shorter run, none make none."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - size),
-                       lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(size)]))
-    return (F.when(F.size(tokens) == 0, F.array().cast("array<bigint>"))
-            .when(F.size(tokens) < size, F.array(F.xxhash64(F.concat_ws("\x00", tokens))))
-            .otherwise(runs))
+def with_shingles(df: DataFrame, text: str, size: int, name: str) -> DataFrame:
+    """Add the 64-bit hashes of the runs of ``size`` words, lower-cased within ASCII; fewer words make none."""
+    hashed = F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_hashed") - size),
+                       lambda i: F.xxhash64(*[F.get("_hashed", i + k) for k in range(size)]))
+    runs = F.when(F.size("_hashed") >= size, runs).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("_hashed", hashed).withColumn(name, runs).drop("_hashed")
 
 
 # Arrow side ------------------------------------------------------------------
