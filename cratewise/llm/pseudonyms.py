@@ -30,11 +30,11 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<mark>[/.])[0-9]{1,2}(?P=mark)[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}([\x20-])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\3[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?P<gap>[\x20-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}|[0-9]{4}(?P<space>[\x20-])[0-9]{6}(?P=space)[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
 }
 ANY = re.compile("|".join(f"(?P<{k}>{FORMATS[k]})" for k in KINDS))
 HINT = re.compile("[0-9@]")
@@ -111,7 +111,9 @@ def _permuted(value: str, key: bytes, tweak: str, invert: bool) -> str:
 
 
 def _date_parts(value: str) -> tuple[str, datetime.date] | None:
-    """The order of year, month and day, and the day. With slashes a first number up to 12 is the month, with points the day is first."""
+    """The order of year, month and day, and the day. With slashes a first number up to 12 is the month, with points the day is first.
+
+    Pseudonyms are written with two digits for day and month."""
     numbers = [int(x) for x in re.split("[-/.]", value)]
     if "-" in value:
         order = "ymd"
