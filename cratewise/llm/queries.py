@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import containment, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, secret_scan
+from cratewise.llm import containment, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, repeats, secret_scan
 from cratewise.llm.text import prepare
 from cratewise.plans.registry import Book
 
@@ -121,3 +121,8 @@ from t left join d using (doc_id)
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "n_seen", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))
+
+
+@BOOK.query("op5_repeated_bytes")
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
