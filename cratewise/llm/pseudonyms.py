@@ -200,27 +200,27 @@ def replace_values(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text replaced, n_private and private_spans.
+def pseudonymize(docs: DataFrame, key: bytes, *, text: str = "text", count: str = "n_private", spans: str = "private_spans") -> DataFrame:
+    """All columns of ``docs`` with the text replaced, and columns named by ``count`` and ``spans``.
 
-    ``private_spans`` is ``kind:start:end`` of each value in the original text
+    ``spans`` is ``kind:start:end`` of each value in the original text
     (code points, end exclusive), joined by commas. A null text stays null and
-    has no values. Each row is treated alone. Columns named n_private or
-    private_spans are replaced.
+    has no values. Each row is treated alone. Columns with the two names are
+    replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "n_private", "private_spans")]
+    kept = [c for c in docs.columns if c not in (text, count, spans)]
     ordered = docs.select(*kept, F.col(text).cast("string").alias(text))
-    schema = StructType([*ordered.schema.fields, StructField("n_private", LongType()), StructField("private_spans", StringType())])
+    schema = StructType([*ordered.schema.fields, StructField(count, LongType()), StructField(spans, StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            texts, counts, spans = [], [], []
+            texts, counts, places = [], [], []
             for body in batch.column(text).to_pylist():
                 fresh, found = (None, []) if body is None else replace_values(body, key)
                 texts.append(fresh)
                 counts.append(len(found))
-                spans.append(",".join(f"{k}:{a}:{b}" for k, a, b in found))
-            columns = [batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, text, "n_private", "private_spans"])
+                places.append(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+            columns = [batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(places, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, text, count, spans])
 
     return ordered.mapInArrow(work, schema)
