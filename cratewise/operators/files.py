@@ -12,15 +12,16 @@ def content_hash(content: Column) -> Column:
 
 
 def import_new(incoming: DataFrame, library: DataFrame, order: str = "id") -> DataFrame:
-    """First row per content hash that the library does not hold yet.
+    """First row per content hash that the library does not hold yet; rows without a hash are all new.
 
     The minimum per hash is a map-side combined aggregation, so a hash that
     many copies share is reduced before the shuffle.
     """
     rest = [c for c in incoming.columns if c not in ("content_hash", order)]
-    first = incoming.groupBy("content_hash").agg(F.min(F.struct(order, *rest)).alias("r"))
+    first = incoming.where("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(order, *rest)).alias("r"))
     known = library.select("content_hash").where("content_hash is not null")
-    return first.select("content_hash", "r.*").join(known, "content_hash", "left_anti").select(incoming.columns)
+    fresh = first.select("content_hash", "r.*").join(known, "content_hash", "left_anti").select(incoming.columns)
+    return fresh.unionByName(incoming.where("content_hash is null"))
 
 
 def import_new_paths(incoming: DataFrame, library: DataFrame) -> DataFrame:

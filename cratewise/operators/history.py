@@ -11,12 +11,14 @@ def append_history(history: DataFrame, tracks: DataFrame, results: DataFrame) ->
     """Archive new results; the first one for a track also archives the stored one.
 
     ``results`` and ``history`` are (id, track_id, saved_at, ...); ``tracks``
-    carries the currently stored result under the same value columns.
+    carries the currently stored result under the same value columns. A track
+    that has no stored result yet (all values NULL) leaves nothing to archive.
     """
     values = [c for c in history.columns if c not in ("id", "track_id", "saved_at")]
     first = (results.join(history.select("track_id").distinct(), "track_id", "left_anti")
              .groupBy("track_id").agg(F.min("saved_at").alias("saved_at")))
-    legacy = (tracks.join(first, "track_id").select(
+    stored = tracks.where(F.greatest(F.lit(False), F.lit(False), *[F.col(c).isNotNull() for c in values]))
+    legacy = (stored.join(first, "track_id").select(
         F.concat(F.lit("legacy:"), F.col("track_id").cast("string")).alias("id"), "track_id", "saved_at", *values))
     known = results.join(tracks.select("track_id"), "track_id", "left_semi")
     return history.unionByName(legacy).unionByName(known.select(history.columns))
@@ -53,20 +55,24 @@ def cascade_delete(ids: DataFrame, tracks: DataFrame, jobs: DataFrame,
     return out
 
 
-# What each stored version lacks, as the default of the new column.
-MIGRATIONS: list[tuple[int, dict[str, str]]] = [
-    (2, {"manual_bpm": "cast(null as double)"}),
-    (3, {"title": "cast(null as string)", "artist": "cast(null as string)"}),
-    (10, {"phase": "'analysis'", "max_attempts": "3", "next_attempt_at": "0L",
-          "progress": "case when status = 'done' then 1D else 0D end"}),
-    (12, {"track_id": "id"}),
-    (15, {"tokens": "cast(null as array<string>)"}),
-]
+# What each stored version of a table lacks, as the default of the new column.
+MIGRATIONS: dict[str, list[tuple[int, dict[str, str]]]] = {
+    "tracks": [(2, {"manual_grid": "cast(null as string)"}), (3, {"title": "cast(null as string)", "artist": "cast(null as string)"})],
+    "jobs": [
+        (10, {"phase": "'analysis'", "run_id": "uuid()", "owner": "cast(null as string)", "attempt_id": "cast(null as string)",
+              "lease_until": "cast(null as bigint)", "max_attempts": "3", "next_attempt_at": "0L", "updated_at": "queued_at", "stage": "status",
+              "progress": "case when status = 'done' then 1D else 0D end"}),
+        (12, {"track_id": "id"})],
+    "catalog_keys": [(15, {"tokens": "cast(null as array<string>)"})],
+}
 
 
-def migrate(rows: DataFrame, from_version: int) -> DataFrame:
-    """Bring a table of an old version up to date: add only what is absent."""
-    for version, columns in MIGRATIONS:
+def migrate(rows: DataFrame, table: str, from_version: int) -> DataFrame:
+    """Bring a table of an old version up to date: add only what is absent, and only what belongs to that table.
+
+    Defaults that are taken from other columns need those columns.
+    """
+    for version, columns in MIGRATIONS[table]:
         if version > from_version:
             rows = rows.select("*", *[F.expr(e).alias(c) for c, e in columns.items() if c not in rows.columns])
     return rows

@@ -136,6 +136,7 @@ def recommend(source: DataFrame, candidates: DataFrame, limit: int = 8,
     wheel = F.concat(F.col("wheel").cast("string"), F.col("letter"))
     steps = F.concat(F.lit(" ("), start, F.lit(" to "), wheel, F.lit(")"))
     delta = F.col("energy") - constant("energy")
+    overlap = F.col("vocal") * constant("vocal")
     return out.orderBy(F.desc("score"), *_by_name()).limit(limit).select(
         "id", "name", "score", reason_order().alias("reasons"), warnings().alias("warnings"),
         F.concat(F.format_string("%.1f BPM, %.1f%% away", F.col("bpm"), (F.pow(F.lit(2.0), d) - 1) * 100),
@@ -154,7 +155,10 @@ def recommend(source: DataFrame, candidates: DataFrame, limit: int = 8,
         .when(F.col("section").isin("Instrumental", "Sparse"), F.concat(F.lit("Opens "), F.lower("section")))
         .when(F.col("section") == "Build", "Opens on a build")
         .when(F.col("section") == "Drop", "Opens straight into a drop")
-        .otherwise(F.concat(F.lit("Opens on "), F.lower("section"))).alias("section_text"))
+        .otherwise(F.concat(F.lit("Opens on "), F.lower("section"))).alias("section_text"),
+        F.when(overlap > 0.45, F.concat(F.lit("Both tracks are vocal-heavy ("), half_up(overlap * 100).cast("string"), F.lit("% overlap)")))
+        .when(F.col("vocal") < 0.2, "Incoming track is largely instrumental")
+        .otherwise("Vocal overlap is manageable").alias("vocal_text"))
 
 
 _SIGNATURE = ["bpm", "wheel", "letter", "energy", "vocal", "artist"]
@@ -171,8 +175,11 @@ def _keys_and_scores() -> Column:
     return F.array(*[rows(s, f, listed.get((s, f), OTHER_KEY)) for f in (0, 1) for s in range(12)])
 
 
-def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_PENALTY,
-                  fine: bool | None = None) -> DataFrame:
+# Candidates of one cell that a source meets in one task; larger cells are split.
+CELL_ROWS = 4096
+
+
+def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_PENALTY) -> DataFrame:
     """The exact top ``k`` successors of every track, without scoring all pairs.
 
     ``tracks`` is a ``rank_view``. Four steps:
@@ -182,19 +189,20 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
        ranked once per signature.
     2. *Floor.* Up to four good candidates of each (key, energy, tempo) cell and
        of each (key, energy) are broadcast and scored; the (k+1)-th best is a
-       valid floor for the real one. Tempi of 20 to 400 BPM fall into 140 cells,
-       so this is at most 24 * 10 * 141 * 4 rows however large the library.
-    3. *Probe.* From the floor follows, per target key (and per energy level and
-       section score when ``fine``), how far in tempo a candidate may be and
-       still reach the floor. A source emits just those cells and equi-joins
-       them; where even a tempo score of zero would do, it joins on the key
-       alone. No candidate that could rank is skipped.
+       valid floor for the real one. They are taken from tempi of 20 to 400 BPM,
+       which fall into 140 cells, and energies 1 to 10, so this is at most
+       24 * 10 * 141 * 4 rows however large the library.
+    3. *Probe.* From the floor follows, per target key, how far in tempo a
+       candidate may be and still reach the floor. A source emits just those
+       cells and equi-joins them; where even a tempo score of zero would do, it
+       joins on the key alone. No candidate that could rank is skipped. Cells
+       and keys are split by their measured sizes, so one that holds most of
+       the library is spread over many tasks.
     4. The pairs are scored and cut to ``k + 1`` per source signature (the row
        limit is applied before the shuffle), then a track is taken out of its
        own list.
 
-    Work is quadratic only inside a cell of distinct, nearly equal tracks;
-    ``fine`` (the default beyond 200 000 signatures) makes the cells smaller.
+    Work is quadratic only inside a cell of distinct, nearly equal tracks.
     """
     # Name order as a number: one distributed sort instead of collated string
     # comparisons in every later step.
@@ -209,9 +217,7 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     same = Window.partitionBy(*_SIGNATURE, "section_score", "recent").orderBy("name_pos")
     pool = cut_lineage(named.where("analysed").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
                        .select("_log", *c_cols))
-    if fine is None:
-        fine = pool.count() > 200_000
-    width = 256 if fine else 64
+    width = 64
 
     def cell(col: str, per_octave: int) -> Column:
         return F.floor(F.col(col) * per_octave)
@@ -222,7 +228,8 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
 
     def anchors(per: list[str], rows: int) -> DataFrame:
         w = Window.partitionBy(*per).orderBy(*good)
-        return (pool.withColumn("_cell", cell("_log", 32)).withColumn("_r", F.row_number().over(w))
+        bounded = pool.where("bpm between 20 and 400 and energy between 1 and 10")
+        return (bounded.withColumn("_cell", cell("_log", 32)).withColumn("_r", F.row_number().over(w))
                 .where(F.col("_r") <= rows).select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(per)], *a_cols))
 
     def floor_from(probes: DataFrame, to: list[str], table: DataFrame) -> DataFrame:
@@ -249,16 +256,8 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
 
     # 3. probe; a result may round up by half a point, hence the 0.01
     probes = sources.select("*", F.inline(_keys_and_scores()))
-    reach = F.col("h") * WEIGHTS["key"] + WEIGHTS["vocals"]
-    cell_cols, to_cols = ["wheel", "letter"], ["to_wheel", "to_letter"]
-    if fine:
-        probes = (probes.withColumn("to_energy", F.explode(F.sequence(F.lit(1), F.lit(10))))
-                  .withColumn("to_section", F.explode(F.array(*[F.lit(x) for x in (1.0, 0.85, 0.6, 0.5, 0.25)]))))
-        reach = (reach + energy_score(F.col("energy"), F.col("to_energy")) * WEIGHTS["energy"]
-                 + F.col("to_section") * WEIGHTS["section"])
-        cell_cols, to_cols = cell_cols + ["energy", "section_score"], to_cols + ["to_energy", "to_section"]
-    else:
-        reach = reach + WEIGHTS["energy"] + WEIGHTS["section"]
+    reach = F.col("h") * WEIGHTS["key"] + WEIGHTS["vocals"] + WEIGHTS["energy"] + WEIGHTS["section"]
+    to_cols = ["to_wheel", "to_letter"]
     probes = probes.withColumn("_need", (F.col("floor") - 0.01 - 1e-9 - reach) / WEIGHTS["tempo"])
     span = (F.lit(1.0) - F.col("_need")) * TEMPO_TOLERANCE + 1e-9
 
@@ -270,17 +269,22 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     tight = (probes.where((F.col("_need") > 0) & (F.col("_need") <= 1))
              .select(*s_all, *to_cols, F.explode(F.concat(*[cells_around(r) for r in (-1, 0, 1)])).alias("_cell")))
     loose = probes.where(F.col("_need") <= 0).select(*s_all, *to_cols)
-    targets = pool.select(cell("_log", width).alias("_c"), *[F.col(c).alias(f"c_{c}") for c in c_cols])
-    on = F.lit(True)
-    for to, c in zip(to_cols, cell_cols):
-        on = on & (F.col(to) == F.col(f"c_{c}"))
-    # Both joins multiply rows, so their partition count is fixed by the work.
-    # The key-only join has 24 keys at least; a salt spreads each over all tasks.
-    near_pairs = (tight.repartition(tasks, *to_cols, "_cell").join(targets, on & (F.col("_cell") == F.col("_c"))).drop("_cell", "_c"))
-    salt = F.pmod(F.xxhash64("c_id"), F.lit(tasks))
-    far = loose.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>")))
-    far_pairs = (far.repartition(tasks, *to_cols, "_salt").join(targets.withColumn("_c", salt), on & (F.col("_salt") == F.col("_c")))
-                 .drop("_salt", "_c"))
+    targets = pool.select(F.col("wheel").alias("to_wheel"), F.col("letter").alias("to_letter"), cell("_log", width).alias("_cell"),
+                          *[F.col(c).alias(f"c_{c}") for c in c_cols])
+
+    def met(probing: DataFrame, keys: list[str]) -> DataFrame:
+        """Equi-join on ``keys``; the holders of a key are split by their number, and a source visits every part."""
+        parts = targets.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_parts"))
+        few = parts.limit(100_001).count() <= 100_000
+        parts = F.broadcast(parts) if few else parts
+        split = targets.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64("c_id"), F.col("_parts")).cast("int"))
+        asking = probing.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        # The join multiplies rows, so its partition count is fixed by the work.
+        return (asking.drop("_parts").repartition(tasks, *keys, "_part")
+                .join(split.drop("_parts"), [*keys, "_part"]).drop("_part", "_cell"))
+
+    near_pairs = met(tight, [*to_cols, "_cell"])
+    far_pairs = met(loose, to_cols)
     pairs = near_pairs.unionByName(far_pairs).drop(*to_cols)
 
     # 4. score, drop what is under the floor, cut

@@ -133,10 +133,11 @@ _SNAP = "s AS (SELECT event_id::VARCHAR AS id, user_id AS track_id, epoch_us(ts)
 @query("append_history", f"""WITH {_SNAP}, old AS (SELECT * FROM s WHERE track_id % 2 = 0), n AS (SELECT s.* FROM s JOIN part ON p_partkey = track_id),
 f AS (SELECT track_id, min(saved_at) AS saved_at FROM s WHERE track_id NOT IN (SELECT track_id FROM old) GROUP BY 1)
 SELECT * FROM old UNION ALL SELECT * FROM n
-UNION ALL SELECT 'legacy:' || track_id, track_id, saved_at, p_size::DOUBLE FROM f JOIN part ON p_partkey = track_id""")
+UNION ALL SELECT 'legacy:' || track_id, track_id, saved_at, p_size::DOUBLE FROM f JOIN part ON p_partkey = track_id WHERE p_partkey % 3 <> 0""")
 def append_history(spark, sf):
     s = snapshots(spark, sf)
-    stored = v.table(spark, sf, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_size").cast("double").alias("bpm"))
+    # a third of the tracks was never analysed
+    stored = v.table(spark, sf, "part").select(F.col("p_partkey").alias("track_id"), F.expr("if(p_partkey % 3 = 0, null, double(p_size))").alias("bpm"))
     return hi.append_history(s.where("track_id % 2 = 0"), stored, s)
 
 
@@ -181,108 +182,20 @@ def cascade_delete(spark, sf):
     return out
 
 
-@query("migrate", """SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'queued' END AS status, 'analysis' AS phase, 3 AS max_attempts,
-  0::BIGINT AS next_attempt_at, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END::DOUBLE AS progress, event_id AS track_id FROM events""")
+@query("migrate", """SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'queued' END AS status, epoch_us(ts) AS queued_at, 'analysis' AS phase,
+  CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS attempt_id, CAST(NULL AS BIGINT) AS lease_until, 3 AS max_attempts, 0::BIGINT AS next_attempt_at,
+  epoch_us(ts) AS updated_at, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'queued' END AS stage,
+  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END::DOUBLE AS progress, event_id AS track_id FROM events""")
 def migrate(spark, sf):
-    old = v.table(spark, sf, "events").selectExpr("event_id as id", "case event_type when 'purchase' then 'done' else 'queued' end as status")
-    return hi.migrate(old, 9).drop("tokens")
+    old = v.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.expr("case event_type when 'purchase' then 'done' else 'queued' end").alias("status"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("queued_at"))
+    return hi.migrate(old, "jobs", 9).drop("run_id")  # random by definition
 
 
-# --- playlists and feedback ---------------------------------------------------
-
-_PLS = "pls AS (SELECT playlist, count(*) AS n FROM playlist GROUP BY 1)"
-
-
-@query("playlist_add", oracle("playlist", f"""WITH {_PLS} SELECT playlist, pos, track_id FROM playlist
-UNION ALL SELECT playlist, n, playlist * 3 % 200 FROM pls WHERE (playlist, playlist * 3 % 200) NOT IN (SELECT (playlist, track_id) FROM playlist)"""))
-def playlist_add(spark, sf):
-    rows = v.playlist(spark, sf)
-    return pl.add(rows, rows.select("playlist").distinct().selectExpr("playlist", "playlist * 3 % 200 as track_id"))
-
-
-@query("playlist_remove", oracle("playlist", """SELECT playlist, row_number() OVER (PARTITION BY playlist ORDER BY pos) - 1 AS pos, track_id
-  FROM playlist WHERE track_id % 4 <> 1"""))
-def playlist_remove(spark, sf):
-    rows = v.playlist(spark, sf)
-    return pl.remove(rows, rows.where("track_id % 4 = 1").select("playlist", "track_id"))
-
-
-@query("playlist_purge", oracle("playlist", """SELECT playlist, row_number() OVER (PARTITION BY playlist ORDER BY pos) - 1 AS pos, track_id
-  FROM playlist WHERE track_id NOT IN (SELECT s_suppkey FROM supplier)"""))
-def playlist_purge(spark, sf):
-    return pl.purge(v.playlist(spark, sf), v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("track_id")))
-
-
-@query("playlist_reorder", oracle("playlist", f"""WITH {_PLS}, m AS (SELECT playlist, n, (playlist % 3)::BIGINT AS f, least(n - 1, playlist % 5) AS t FROM pls WHERE playlist % 3 < n)
-SELECT p.playlist, CASE WHEN m.f IS NULL THEN pos WHEN pos = f THEN t WHEN pos > f AND pos <= t THEN pos - 1 WHEN pos < f AND pos >= t THEN pos + 1 ELSE pos END AS pos, track_id
-FROM playlist p LEFT JOIN m USING (playlist)"""))
-def playlist_reorder(spark, sf):
-    rows = v.playlist(spark, sf)
-    moves = rows.where("pos = playlist % 3").selectExpr("playlist", "track_id", "playlist % 5 as to_index")
-    return pl.reorder(rows, moves)
-
-
-@query("recently_played", oracle("feedback", 'SELECT to_id, "at" FROM feedback WHERE action IN (\'accepted\',\'played\') ORDER BY "at" DESC, id DESC LIMIT 20'))
-def recently_played(spark, sf):
-    return fb.recently_played(v.feedback(spark, sf))
-
-
-@query("feedback_for", oracle("feedback", "SELECT * FROM feedback WHERE from_id = 7"))
-def feedback_for(spark, sf):
-    return fb.feedback_for(v.feedback(spark, sf), 7)
-
-
-@query("acceptance_stats", oracle("feedback", "SELECT count(*) AS shown, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'accepted' AND rank = 0) AS top_rank_accepted FROM feedback"))
-def acceptance_stats(spark, sf):
-    return fb.acceptance_stats(v.feedback(spark, sf))
-
-
-# --- cache ----------------------------------------------------------------------
-
-@query("cache_size", oracle("cache_entries", "SELECT sum(size_bytes)::BIGINT AS bytes, count(*) AS entries, count(*) FILTER (pinned) AS pinned FROM cache_entries"))
-def cache_size(spark, sf):
-    return ca.cache_size(v.cache_entries(spark, sf))
-
-
-_EVICT = """t AS (SELECT sum(size_bytes) AS total FROM cache_entries),
-e AS (SELECT c.*, coalesce(sum(size_bytes) OVER (ORDER BY last_used_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed_before,
-  row_number() OVER (ORDER BY last_used_at, id) - 1 AS eviction_order FROM cache_entries c WHERE NOT pinned)"""
-_LIMIT = 2 * 1024 ** 3 * 20
-
-
-@query("plan_eviction", oracle("cache_entries", f"WITH {_EVICT} SELECT id, size_bytes, last_used_at, pinned, eviction_order, freed_before FROM e, t WHERE total - freed_before > {_LIMIT}"))
-def plan_eviction(spark, sf):
-    return ca.plan_eviction(v.cache_entries(spark, sf), _LIMIT)
-
-
-@query("eviction_summary", oracle("cache_entries", f"""WITH {_EVICT} SELECT count(*) AS removed, coalesce(sum(size_bytes), 0)::BIGINT AS freed_bytes,
-  (SELECT total FROM t) - coalesce(sum(size_bytes), 0) > {_LIMIT} AS blocked_by_pins FROM e, t WHERE total - freed_before > {_LIMIT}"""))
-def eviction_summary(spark, sf):
-    return ca.eviction_summary(v.cache_entries(spark, sf), _LIMIT)
-
-
-@query("cache_key", """SELECT doc_id, concat_ws(':', sha256(text), source, 'dsp', '1', CASE WHEN doc_id % 2 = 0 THEN 'w' || doc_id ELSE 'no-weights' END, 'alg', 'balanced', lang) AS key FROM documents""")
-def cache_key(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", ca.cache_key(
-        F.sha2("text", 256), F.col("source"), F.lit("dsp"), F.lit("1"),
-        F.expr("case when doc_id % 2 = 0 then concat('w', doc_id) end"), F.lit("alg"), F.lit("balanced"), F.col("lang")).alias("key"))
-
-
-@query("stems_plausible", """WITH s AS (SELECT l_orderkey AS job_id, floor(l_extendedprice)::BIGINT AS b FROM lineitem),
-p AS (SELECT job_id, count(*) AS n, sum(b) AS bytes, count(*) FILTER (b < 1024) AS tiny FROM s GROUP BY 1)
-SELECT o_orderkey AS job_id, CASE WHEN n IS NULL THEN 'The service returned no stems.' WHEN tiny > 0 THEN tiny || ' stem(s) came back empty.'
-  WHEN bytes < floor(o_totalprice) THEN 'Stems are smaller than the source; separation looks truncated.' END AS reason
-FROM orders LEFT JOIN p ON job_id = o_orderkey""")
-def stems_plausible(spark, sf):
-    stems = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.floor("l_extendedprice").alias("size_bytes"))
-    jobs = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.floor("o_totalprice").alias("source_bytes"))
-    return ca.stems_plausible(stems, jobs)
-
-
-@query("expire_results", oracle("job_events", "SELECT event_id, job_id, status FROM job_events WHERE status IN ('done','failed','cancelled') AND event_id IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15')"))
-def expire_results(spark, sf):
-    jobs = v.job_events(spark, sf).withColumnRenamed("at", "updated_at")
-    return ca.expire_results(jobs, F.lit("2024-01-15").cast("timestamp")).select("event_id", "job_id", "status")
+@query("migrate_tracks", "SELECT p_partkey AS id, p_name AS name, CAST(NULL AS VARCHAR) AS manual_grid, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS artist FROM part")
+def migrate_tracks(spark, sf):
+    return hi.migrate(v.table(spark, sf, "part").selectExpr("p_partkey as id", "p_name as name"), "tracks", 1)
 
 
 # --- files ------------------------------------------------------------------------
@@ -293,10 +206,13 @@ def content_hash(spark, sf):
 
 
 @query("import_new", oracle("files_dup", """SELECT min(id) AS id, content_hash FROM files_dup
-  WHERE content_hash NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'fr') GROUP BY content_hash"""))
+  WHERE id % 7 <> 0 AND content_hash NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'fr') GROUP BY content_hash
+  UNION ALL SELECT id, NULL FROM files_dup WHERE id % 7 = 0"""))
 def import_new(spark, sf):
     library = v.table(spark, sf, "documents").where("lang = 'fr'").select(F.sha2("text", 256).alias("content_hash"))
-    return fi.import_new(v.files_dup(spark, sf).select("id", "content_hash"), library)
+    # every seventh file could not be hashed
+    hashed = v.files_dup(spark, sf).select("id", F.expr("if(id % 7 = 0, null, content_hash)").alias("content_hash"))
+    return fi.import_new(hashed, library)
 
 
 @query("import_new_paths", oracle("folder_files", "SELECT page_id, path FROM folder_files WHERE path NOT IN (SELECT url FROM pages WHERE length(html) > 2000)"))

@@ -18,7 +18,7 @@ rv AS (SELECT id, name, artist, bpm, ((((CASE WHEN eff_mode = 'minor' THEN (eff_
   CASE first_section WHEN 'Intro' THEN 1 WHEN 'Instrumental' THEN 0.85 WHEN 'Sparse' THEN 0.85 WHEN 'Build' THEN 0.6 WHEN 'Drop' THEN 0.25 ELSE 0.5 END::DOUBLE AS sec,
   id IN (SELECT to_id FROM recent) AS recent, analysed FROM eff WHERE bpm > 0 AND eff_tonic IS NOT NULL),
 pairs AS (SELECT s.id AS from_id, c.id AS to_id, c.name AS to_name, c.recent, s.artist IS NOT NULL AND c.artist IS NOT NULL AND s.artist = c.artist AS same_artist,
-  c.bpm AS c_bpm, s.bpm AS s_bpm, c.energy AS c_energy, s.energy AS s_energy, c.first_section,
+  c.bpm AS c_bpm, s.bpm AS s_bpm, c.energy AS c_energy, s.energy AS s_energy, c.first_section, c.vocal AS c_vocal, s.vocal AS s_vocal,
   s.wheel || s.letter AS s_key, c.wheel || c.letter AS c_key,
   greatest(0, 1 - least(abs(log2(c.bpm / s.bpm)), abs(log2(c.bpm / (s.bpm * 2))), abs(log2(c.bpm / (s.bpm * 0.5::DOUBLE)))) / 0.06::DOUBLE) AS t,
   CASE WHEN s.letter = c.letter AND s.wheel = c.wheel THEN 1 WHEN s.wheel = c.wheel THEN 0.85
@@ -49,11 +49,6 @@ def recommend_all(spark, sf):
     return rk.recommend_all(ranked(spark, sf))
 
 
-@query("recommend_all_fine", oracle("eff feedback", f"WITH {_RANKED.replace('SOURCE', '')} SELECT from_id, rank, to_id, to_name, score, reasons, warnings FROM listed"))
-def recommend_all_fine(spark, sf):
-    return rk.recommend_all(ranked(spark, sf), fine=True)
-
-
 @query("recommend", oracle("eff feedback", f"""WITH {_RANKED.replace('SOURCE', 'AND s.id = 34')} SELECT to_id AS id, to_name AS name, score, reasons, warnings,
   CASE WHEN c_key = s_key THEN 'Same key (' || c_key || ')' ELSE CASE h WHEN 0.85 THEN 'Relative major/minor' WHEN 0.8 THEN 'One step on the wheel'
     WHEN 0.45 THEN 'Two steps on the wheel' ELSE 'Key contrast' END || ' (' || s_key || ' to ' || c_key || ')' END AS key_text,
@@ -61,7 +56,9 @@ def recommend_all_fine(spark, sf):
   CASE first_section WHEN 'Intro' THEN 'Opens with an intro' WHEN 'Sparse' THEN 'Opens sparse' WHEN 'Build' THEN 'Opens on a build'
     WHEN 'Drop' THEN 'Opens straight into a drop' WHEN 'Verse' THEN 'Opens on verse' ELSE 'No structure analysed' END AS section_text,
   printf('%.1f BPM, %.1f%% away', c_bpm, (pow(2, least(abs(log2(c_bpm / s_bpm)), abs(log2(c_bpm / (s_bpm * 2))), abs(log2(c_bpm / (s_bpm * 0.5::DOUBLE))))) - 1) * 100)
-   || CASE WHEN abs(log2(c_bpm / s_bpm)) <= 0.5 THEN '' WHEN c_bpm > s_bpm THEN ' at double time' ELSE ' at half time' END AS tempo_text FROM listed"""))
+   || CASE WHEN abs(log2(c_bpm / s_bpm)) <= 0.5 THEN '' WHEN c_bpm > s_bpm THEN ' at double time' ELSE ' at half time' END AS tempo_text,
+  CASE WHEN c_vocal * s_vocal > 0.45 THEN 'Both tracks are vocal-heavy (' || floor(c_vocal * s_vocal * 100 + 0.5)::BIGINT || '% overlap)'
+    WHEN c_vocal < 0.2 THEN 'Incoming track is largely instrumental' ELSE 'Vocal overlap is manageable' END AS vocal_text FROM listed"""))
 def recommend(spark, sf):
     tracks = ranked(spark, sf)
     return rk.recommend(tracks.where("id = 34"), tracks)

@@ -58,18 +58,31 @@ def stft(spark, sf):
         "track_id", "frame", F.col("bin").cast("bigint").alias("bin"), round6(F.col("m")).alias("mag"))
 
 
-@query("audio_hash", oracle("samples", f"""WITH {_MONO}, q AS (SELECT track_id, i, floor(x * 512 + 0.5)::BIGINT & 65535 AS q FROM mono WHERE i < 600)
-SELECT track_id, sha256(unhex(string_agg(printf('%02x%02x', q & 255, q >> 8), '' ORDER BY i))) AS audio_hash FROM q GROUP BY 1"""))
+@query("audio_hash", oracle("samples", f"""WITH {_MONO}, q AS (SELECT track_id, i, floor(x * 512 + 0.5)::BIGINT & 65535 AS q FROM mono),
+c AS (SELECT track_id, i // {PCM_CHUNK} AS c, sha256(unhex(string_agg(printf('%02x%02x', q & 255, q >> 8), '' ORDER BY i))) AS d FROM q GROUP BY ALL)
+SELECT track_id, sha256(string_agg(d, '' ORDER BY c)) AS audio_hash FROM c GROUP BY 1"""))
 def audio_hash(spark, sf):
-    return pc.audio_hash(pc.downmix(v.pcm(spark, sf)), PCM_RATE, 6.0)
+    return pc.audio_hash(pc.downmix(v.pcm(spark, sf)), PCM_RATE)
 
 
-@query("peaks", oracle("samples", f"""WITH n AS (SELECT track_id, max(i) + 1 AS n FROM samples GROUP BY 1)
-SELECT track_id, i // (n // 64) AS bucket, {sql6('max(abs(x))')} AS peak FROM samples JOIN n USING (track_id) WHERE channel = 0 AND i // (n // 64) < 64 GROUP BY ALL"""))
+def _peaks_sql(buckets):
+    return f"""WITH n AS (SELECT track_id, greatest(1, (max(i) + 1) // {buckets}) AS w FROM samples GROUP BY 1),
+m AS (SELECT track_id, i // w AS bucket, max(abs(x)) AS peak FROM samples JOIN n USING (track_id) WHERE channel = 0 GROUP BY ALL)
+SELECT track_id, b.b AS bucket, {sql6('coalesce(peak, 0)')} AS peak FROM n CROSS JOIN range({buckets}) b(b) LEFT JOIN m USING (track_id) WHERE m.bucket = b.b
+UNION ALL SELECT track_id, b.b, 0 FROM n CROSS JOIN range({buckets}) b(b) WHERE (track_id, b.b) NOT IN (SELECT track_id, bucket FROM m)"""
+
+
+@query("peaks", oracle("samples", _peaks_sql(64)))
 def peaks(spark, sf):
     return pc.peaks(v.pcm(spark, sf).where("channel = 0"), 64).withColumn("peak", round6(F.col("peak")))
 
 
+@query("peaks_short", oracle("samples", _peaks_sql(4096)))
+def peaks_short(spark, sf):
+    """More buckets than samples: each sample is a bucket, the rest is silence."""
+    return pc.peaks(v.pcm(spark, sf).where("channel = 0"), 4096).withColumn("peak", round6(F.col("peak")))
+
+
 @query("sample_peak_crest", oracle("samples", f"""SELECT track_id, {sql6('20 * log10(max(abs(x)))')} AS peak_dbfs, {sql6('20 * log10(max(abs(x)) / sqrt(avg(x * x)))')} AS crest_factor_db
 FROM samples GROUP BY 1"""))
 def sample_peak_crest(spark, sf):
