@@ -266,44 +266,65 @@ def keepers(groups: DataFrame, facts: DataFrame) -> DataFrame:
     return groups.join(facts, "id").groupBy("level", "group_key").agg(F.min(order)["id"].alias("keeper_id"))
 
 
+MERGED = ["manual_bpm", "manual_grid", "manual_key_tonic", "manual_key_mode", "reviewed_at", "cues"]
+
+
 def plan_merge(pairs: DataFrame, edits: DataFrame, cue_tolerance: float = 0.05) -> DataFrame:
-    """``pairs(keeper_id, donor_id)`` -> the keeper's values after the merge.
+    """``pairs(keeper_id, donor_id, rank)`` -> one row per keeper: its values after all its donors were merged.
 
-    The keeper wins every conflict; a donor value only fills a NULL. Donor cues
-    are added unless a keeper cue is within the tolerance.
+    The keeper wins every conflict; of its donors, the first by rank with a
+    value fills a NULL. Donor cues are added in the order of rank unless a cue
+    that the keeper has by then is within the tolerance. Donors are reduced
+    per field and per cue time before a keeper's rows meet, so a keeper with
+    very many donors costs one row per distinct cue time.
     """
-    cols = ["manual_bpm", "manual_grid", "manual_key_tonic", "manual_key_mode", "reviewed_at", "cues"]
-    keep = edits.select(F.col("id").alias("keeper_id"), *[F.col(c).alias(f"k_{c}") for c in cols])
-    give = edits.select(F.col("id").alias("donor_id"), *[F.col(c).alias(f"d_{c}") for c in cols])
-    j = pairs.join(keep, "keeper_id").join(give, "donor_id")
+    keep = edits.select(F.col("id").alias("keeper_id"), *[F.col(c).alias(f"k_{c}") for c in MERGED])
+    give = pairs.join(edits.select(F.col("id").alias("donor_id"), *[F.col(c).alias(f"d_{c}") for c in MERGED]), "donor_id")
+    order = F.struct("rank", "donor_id")
+
+    def earliest(c: str, *more: str) -> Column:
+        return F.min(F.when(F.col(f"d_{c}").isNotNull(), F.struct("rank", "donor_id", *[F.col(f"d_{x}") for x in (c, *more)])))
+
+    given = give.groupBy("keeper_id").agg(
+        F.count(F.lit(1)).alias("donors"), *[earliest(c).alias(f"_{c}") for c in ("manual_bpm", "manual_grid", "reviewed_at")],
+        earliest("manual_key_tonic", "manual_key_mode").alias("_key"))
+    cues = (give.select("keeper_id", order.alias("o"), F.posexplode("d_cues").alias("at", "cue"))
+            .groupBy("keeper_id", F.col("cue.time_sec").alias("t")).agg(F.min(F.struct("o", "at", "cue")).alias("c"))
+            .groupBy("keeper_id").agg(F.array_sort(F.collect_list("c")).alias("_offered")))
+    empty = F.array().cast(f"array<{CUE}>")
+    own = F.coalesce("k_cues", empty)
 
-    def gained(c: str) -> Column:
-        return F.col(f"k_{c}").isNull() & F.col(f"d_{c}").isNotNull()
+    def merge(held: Column, offer: Column) -> Column:
+        cue = offer["cue"]
+        known = F.exists(held, lambda k: F.abs(k["time_sec"] - cue["time_sec"]) <= cue_tolerance)
+        return F.when(known, held).otherwise(F.concat(held, F.array(cue)))
 
-    empty = F.array().cast(f"array<{CUE}>")
-    own, other = F.coalesce("k_cues", empty), F.coalesce("d_cues", empty)
-    added = F.filter(other, lambda c: ~F.exists(own, lambda k: F.abs(k["time_sec"] - c["time_sec"]) <= cue_tolerance))
+    j = given.join(cues, "keeper_id", "left").join(keep, "keeper_id")
+    j = j.withColumn("_all", F.aggregate(F.coalesce("_offered", F.array().cast(cues.schema["_offered"].dataType)), own, merge))
     by_time = lambda a, b: (F.when(a["time_sec"] < b["time_sec"], -1).when(a["time_sec"] > b["time_sec"], 1).otherwise(0))
-    key = gained("manual_key_tonic")
-    return j.withColumn("added_cues", added).select(
-        "keeper_id", "donor_id",
-        F.array_compact(F.array(F.when(gained("manual_bpm"), "manual BPM"), F.when(key, "manual key"),
-                                F.when(gained("manual_grid"), "manual grid"),
-                                F.when(gained("reviewed_at"), "reviewed mark"))).alias("fields"),
-        F.coalesce("k_manual_bpm", "d_manual_bpm").alias("manual_bpm"),
-        F.coalesce("k_manual_grid", "d_manual_grid").alias("manual_grid"),
-        F.coalesce("k_manual_key_tonic", "d_manual_key_tonic").alias("manual_key_tonic"),
-        F.when(key, F.col("d_manual_key_mode")).otherwise(F.col("k_manual_key_mode")).alias("manual_key_mode"),
-        F.coalesce("k_reviewed_at", "d_reviewed_at").alias("reviewed_at"), "added_cues",
-        F.array_sort(F.concat(own, "added_cues"), by_time).alias("cues"))
-
-
-def apply_merge(tracks: DataFrame, plans: DataFrame) -> DataFrame:
-    """One new version of the table: keepers updated and donors gone."""
-    cols = ["manual_bpm", "manual_grid", "manual_key_tonic", "manual_key_mode", "reviewed_at", "cues"]
-    new = plans.select(F.col("keeper_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_merged"))
-    kept = tracks.join(plans.select(F.col("donor_id").alias("id")), "id", "left_anti").join(new, "id", "left")
-    return kept.select(*[F.when(F.col("_merged"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+
+    def gained(c: str, given_as: str) -> Column:
+        return F.col(f"k_{c}").isNull() & F.col(given_as).isNotNull()
+
+    key = gained("manual_key_tonic", "_key")
+    return j.select(
+        "keeper_id", "donors",
+        F.array_compact(F.array(F.when(gained("manual_bpm", "_manual_bpm"), "manual BPM"), F.when(key, "manual key"),
+                                F.when(gained("manual_grid", "_manual_grid"), "manual grid"),
+                                F.when(gained("reviewed_at", "_reviewed_at"), "reviewed mark"))).alias("fields"),
+        *[F.coalesce(f"k_{c}", F.col(f"_{c}")[f"d_{c}"]).alias(c) for c in ("manual_bpm", "manual_grid")],
+        F.coalesce("k_manual_key_tonic", F.col("_key")["d_manual_key_tonic"]).alias("manual_key_tonic"),
+        F.when(key, F.col("_key")["d_manual_key_mode"]).otherwise(F.col("k_manual_key_mode")).alias("manual_key_mode"),
+        F.coalesce("k_reviewed_at", F.col("_reviewed_at")["d_reviewed_at"]).alias("reviewed_at"),
+        F.slice("_all", F.size(own) + 1, F.greatest(F.lit(0), F.size("_all") - F.size(own))).alias("added_cues"),
+        F.array_sort("_all", by_time).alias("cues"))
+
+
+def apply_merge(tracks: DataFrame, plans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One new version of the table: each keeper once, updated, and its donors gone."""
+    new = plans.select(F.col("keeper_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in MERGED], F.lit(True).alias("_merged"))
+    kept = tracks.join(pairs.select(F.col("donor_id").alias("id")).distinct(), "id", "left_anti").join(new, "id", "left")
+    return kept.select(*[F.when(F.col("_merged"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in MERGED else F.col(c)
                          for c in tracks.columns])
 
 

@@ -67,30 +67,38 @@ def copy_keepers(spark, sf):
 def merge_pairs(spark, sf):
     ranked = du.rank_copies(hash_groups(spark, sf), files(spark, sf))
     keep = ranked.where("rank = 0").select("level", "group_key", F.col("id").alias("keeper_id"))
-    give = ranked.where("rank = 1").select("level", "group_key", F.col("id").alias("donor_id"))
-    return keep.join(give, ["level", "group_key"]).select("keeper_id", "donor_id")
-
-
-_MERGE = f"""{_CUES}, pr AS (SELECT a.id AS keeper_id, b.id AS donor_id FROM ranks a JOIN ranks b ON a.level = b.level AND a.group_key = b.group_key AND a.rank = 0 AND b.rank = 1),
-add_c AS (SELECT keeper_id, donor_id, c.t FROM pr JOIN cues c ON c.id = donor_id WHERE NOT EXISTS (SELECT 1 FROM cues k WHERE k.id = keeper_id AND abs(k.t - c.t) <= 0.05)),
-plans AS (SELECT pr.keeper_id, pr.donor_id, concat_ws(',', CASE WHEN k.manual_bpm IS NULL AND d.manual_bpm IS NOT NULL THEN 'manual BPM' END,
-    CASE WHEN k.manual_key_tonic IS NULL AND d.manual_key_tonic IS NOT NULL THEN 'manual key' END,
-    CASE WHEN k.manual_grid IS NULL AND d.manual_grid IS NOT NULL THEN 'manual grid' END,
-    CASE WHEN k.reviewed_at IS NULL AND d.reviewed_at IS NOT NULL THEN 'reviewed mark' END) AS fields,
-  coalesce(k.manual_bpm, d.manual_bpm) AS manual_bpm, coalesce(k.manual_grid, d.manual_grid) AS manual_grid,
-  coalesce(k.manual_key_tonic, d.manual_key_tonic) AS manual_key_tonic,
-  CASE WHEN k.manual_key_tonic IS NULL AND d.manual_key_tonic IS NOT NULL THEN d.manual_key_mode ELSE k.manual_key_mode END AS manual_key_mode,
-  coalesce(k.reviewed_at, d.reviewed_at) AS reviewed_at,
-  (SELECT count(*) FROM add_c a WHERE a.donor_id = pr.donor_id AND a.keeper_id = pr.keeper_id) AS added,
-  (SELECT string_agg(printf('%.2f', t), ',' ORDER BY t) FROM (SELECT t FROM cues c WHERE c.id = pr.keeper_id UNION ALL SELECT t FROM add_c a WHERE a.donor_id = pr.donor_id AND a.keeper_id = pr.keeper_id)) AS cues
-  FROM pr JOIN files_dup k ON k.id = keeper_id JOIN files_dup d ON d.id = donor_id)"""
+    give = ranked.where("rank > 0").select("level", "group_key", F.col("id").alias("donor_id"), "rank")
+    return keep.join(give, ["level", "group_key"]).select("keeper_id", "donor_id", "rank")
+
+
+# The fold over a keeper's offers is a recursive CTE; offers are the distinct cue times of its donors, in rank order.
+_MERGE = f"""{_CUES}, pr AS (SELECT a.id AS keeper_id, b.id AS donor_id, b.rank FROM ranks a JOIN ranks b ON a.level = b.level AND a.group_key = b.group_key AND a.rank = 0 AND b.rank > 0),
+offer AS (SELECT keeper_id, t, row_number() OVER (PARTITION BY keeper_id ORDER BY rank, t) AS o FROM
+  (SELECT keeper_id, c.t, min(rank) AS rank FROM pr JOIN cues c ON c.id = donor_id GROUP BY ALL)),
+own AS (SELECT k.keeper_id, coalesce(list(c.t ORDER BY c.t) FILTER (c.t IS NOT NULL), []) AS l FROM (SELECT DISTINCT keeper_id FROM pr) k LEFT JOIN cues c ON c.id = k.keeper_id GROUP BY 1),
+fold AS (SELECT keeper_id, l, 0 AS o FROM own UNION ALL
+  SELECT f.keeper_id, CASE WHEN len([x FOR x IN f.l IF abs(x - offer.t) <= 0.05]) > 0 THEN f.l ELSE list_append(f.l, offer.t) END, offer.o
+  FROM fold f JOIN offer ON offer.keeper_id = f.keeper_id AND offer.o = f.o + 1),
+folded AS (SELECT keeper_id, max_by(l, o) AS l FROM fold GROUP BY 1),
+gv AS (SELECT keeper_id, count(*) AS donors, min_by(d.manual_bpm, rank) FILTER (d.manual_bpm IS NOT NULL) AS bpm, min_by(d.manual_grid, rank) FILTER (d.manual_grid IS NOT NULL) AS grid,
+  min_by(d.manual_key_tonic, rank) FILTER (d.manual_key_tonic IS NOT NULL) AS tonic, min_by(d.manual_key_mode, rank) FILTER (d.manual_key_tonic IS NOT NULL) AS mode,
+  min_by(d.reviewed_at, rank) FILTER (d.reviewed_at IS NOT NULL) AS reviewed FROM pr JOIN files_dup d ON d.id = donor_id GROUP BY 1),
+plans AS (SELECT gv.keeper_id, donors, concat_ws(',', CASE WHEN k.manual_bpm IS NULL AND bpm IS NOT NULL THEN 'manual BPM' END,
+    CASE WHEN k.manual_key_tonic IS NULL AND tonic IS NOT NULL THEN 'manual key' END,
+    CASE WHEN k.manual_grid IS NULL AND grid IS NOT NULL THEN 'manual grid' END,
+    CASE WHEN k.reviewed_at IS NULL AND reviewed IS NOT NULL THEN 'reviewed mark' END) AS fields,
+  coalesce(k.manual_bpm, bpm) AS manual_bpm, coalesce(k.manual_grid, grid) AS manual_grid, coalesce(k.manual_key_tonic, tonic) AS manual_key_tonic,
+  CASE WHEN k.manual_key_tonic IS NULL AND tonic IS NOT NULL THEN mode ELSE k.manual_key_mode END AS manual_key_mode,
+  coalesce(k.reviewed_at, reviewed) AS reviewed_at, (len(folded.l) - len(own.l))::BIGINT AS added,
+  nullif(array_to_string([printf('%.2f', x) FOR x IN list_sort(folded.l)], ','), '') AS cues
+  FROM gv JOIN files_dup k ON k.id = gv.keeper_id JOIN folded ON folded.keeper_id = gv.keeper_id JOIN own ON own.keeper_id = gv.keeper_id)"""
 
 
 def cue_text():
     return F.nullif(F.array_join(F.transform("cues", lambda c: F.format_string("%.2f", c["time_sec"])), ","), F.lit(""))
 
 
-@query("plan_merge", oracle("files_dup", f"WITH {_EXACT}, {_RANKS}, {_MERGE} SELECT * FROM plans"))
+@query("plan_merge", oracle("files_dup", f"WITH {_EXACT}, {_RANKS}, {_MERGE} SELECT * FROM plans", True))
 def plan_merge(spark, sf):
     p = du.plan_merge(merge_pairs(spark, sf), files(spark, sf))
     return p.withColumns({"fields": F.array_join("fields", ","), "added": F.size("added_cues").cast("bigint"),
@@ -100,10 +108,11 @@ def plan_merge(spark, sf):
 @query("apply_merge", oracle("files_dup", f"""WITH {_EXACT}, {_RANKS}, {_MERGE}
 SELECT f.id, coalesce(p.manual_bpm, f.manual_bpm) AS manual_bpm, coalesce(p.manual_grid, f.manual_grid) AS manual_grid, coalesce(p.reviewed_at, f.reviewed_at) AS reviewed_at,
   CASE WHEN p.keeper_id IS NOT NULL THEN p.cues ELSE (SELECT string_agg(printf('%.2f', t), ',' ORDER BY t) FROM cues c WHERE c.id = f.id) END AS cues
-FROM files_dup f LEFT JOIN plans p ON p.keeper_id = f.id WHERE f.id NOT IN (SELECT donor_id FROM plans)"""))
+FROM files_dup f LEFT JOIN plans p ON p.keeper_id = f.id WHERE f.id NOT IN (SELECT donor_id FROM pr)""", True))
 def apply_merge(spark, sf):
     f = files(spark, sf)
-    out = du.apply_merge(f, du.plan_merge(merge_pairs(spark, sf), f))
+    pairs = merge_pairs(spark, sf)
+    out = du.apply_merge(f, du.plan_merge(pairs, f), pairs)
     return out.select("id", "manual_bpm", "manual_grid", "reviewed_at", cue_text().alias("cues"))
 
 

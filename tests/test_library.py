@@ -77,10 +77,12 @@ def brute_force(rows, k):
     return out
 
 
-@pytest.mark.parametrize("fine", [False, True])
-def test_recommend_all_with_a_third_of_copies(spark, fine):
+@pytest.mark.parametrize("cell", [4096, 8])
+def test_recommend_all_with_a_third_of_copies(spark, monkeypatch, cell):
+    """Copies, most of the library in one key and tempo cell, and energies outside 1..10; cells are split or not."""
+    monkeypatch.setattr(rk, "CELL_ROWS", cell)
     rng = random.Random(4)
-    rows = []
+    rows = [(200 + i, f"hot {i:03d}", f"a{i}", 124 + i / 100, 3, "B", rng.choice([0, 5, 11]), rng.random(), 0.5, False, True) for i in range(150)]
     for i in range(150):
         if i % 3 == 0:
             rows.append((i, f"copy {i % 50:02d}", "x", 128.0, 8, "A", 5, 0.5, 1.0, False, True))
@@ -91,7 +93,7 @@ def test_recommend_all_with_a_third_of_copies(spark, fine):
     df = spark.createDataFrame(rows, "id bigint, name string, artist string, bpm double, wheel int, letter string, energy int, "
                                      "vocal double, section_score double, recent boolean, analysed boolean")
     got = {}
-    for r in rk.recommend_all(df.withColumn("section", F.lit(None).cast("string")), 5, fine=fine).orderBy("from_id", "rank").collect():
+    for r in rk.recommend_all(df.withColumn("section", F.lit(None).cast("string")), 5).orderBy("from_id", "rank").collect():
         got.setdefault(r["from_id"], []).append(r["to_id"])
     assert got == brute_force([r.asDict() for r in df.collect()], 5)
 
