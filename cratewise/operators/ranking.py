@@ -333,11 +333,13 @@ def audition_sides(tracks: DataFrame, prefix: str) -> DataFrame:
 
 
 def sync_ratio(from_bpm: Column, to_bpm: Column) -> Column:
-    """to/from, halved while above 1.42 and then doubled while below 0.71."""
+    """to/from, halved while above 1.42 and then doubled while below 0.71, however far it lies outside."""
     ratio = to_bpm / from_bpm
 
-    def least_steps(fits) -> Column:
-        return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(8)), fits), F.lit(0)), F.lit(8))
-    halved = ratio / F.pow(F.lit(2.0), least_steps(lambda n: ratio / F.pow(F.lit(2.0), n) <= 1.42))
-    folded = halved * F.pow(F.lit(2.0), least_steps(lambda n: halved * F.pow(F.lit(2.0), n) >= 0.71))
+    def steps(excess: Column) -> Column:
+        """Least whole number of octaves that covers the excess; on the edge itself none more."""
+        return F.greatest(F.lit(0.0), F.ceil(log2(excess) - 1e-12).cast("double"))
+
+    halved = ratio / F.pow(F.lit(2.0), steps(ratio / 1.42))
+    folded = halved * F.pow(F.lit(2.0), steps(F.lit(0.71) / halved))
     return F.when((from_bpm > 0) & (to_bpm > 0), folded).otherwise(1.0)

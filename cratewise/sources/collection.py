@@ -142,7 +142,7 @@ def read_m3u8(spark: SparkSession, path: str) -> DataFrame:
         "playlist", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
     pairs = with_neighbour(lines, ["playlist"], ["_file", "_block", "_id"], {"line": "path"}, "next")
-    meta = F.substring("line", len("#EXTINF:") + 1, 1 << 20)
+    meta = F.substr("line", F.lit(len("#EXTINF:") + 1))
     comma = F.instr(meta, ",")
     return (pairs.where(F.col("line").startswith("#EXTINF:") & (F.length("path") > 0) & ~F.col("path").startswith("#"))
             .select("playlist", F.when(comma > 0, F.substring_index(meta, ",", 1)).otherwise(meta).cast("double").alias("duration_sec"),

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cratewise.functions import text as tx
 from cratewise.session import checkpoint_folder
 
-# File extensions that count as audio, and how deep a scan goes.
+# File extensions that count as audio.
 AUDIO_EXTENSIONS = ["mp3", "wav", "flac", "ogg", "oga", "m4a", "aac", "aiff", "aif"]
-MAX_DEPTH = 8
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -19,8 +18,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def scan_folder(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, relative_path, name, size_bytes) of audio files at most eight folders deep.
+def scan_folder(spark: SparkSession, folder: str, extensions: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """(path, relative_path, name, size_bytes) of audio files, at most ``max_depth`` folders deep if stated.
 
     Only the listing is used, file contents are pruned. Names with a leading dot
     are skipped; Spark's file listing also hides a leading underscore, and links
@@ -31,11 +30,11 @@ def scan_folder(spark: SparkSession, folder: str, extensions: list[str] | None =
              .select("path", F.col("length").alias("size_bytes")))
     plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:", ""), "^/+", "/")
     root = "/" + folder.split(":", 1)[-1].strip("/") + "/"
-    relative = F.substring(plain, len(root) + 1, 1 << 20)
+    relative = F.substr(plain, F.lit(len(root) + 1))
+    shallow = F.lit(True) if max_depth is None else F.size(F.split("relative_path", "/")) <= max_depth + 1
     return (files.withColumn("relative_path", relative)
             .where(tx.extension(F.col("relative_path")).isin(wanted)
-                   & (F.size(F.split("relative_path", "/")) <= MAX_DEPTH + 1)
-                   & ~F.col("relative_path").rlike(r"(^|/)\."))
+                   & shallow & ~F.col("relative_path").rlike(r"(^|/)\."))
             .select("path", "relative_path", tx.basename(F.col("relative_path")).alias("name"), "size_bytes")
             .orderBy(F.collate(F.col("relative_path"), "UNICODE")))
 

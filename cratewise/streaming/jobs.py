@@ -22,9 +22,14 @@ def job_state(events: DataFrame) -> DataFrame:
         "job_id", "run_id", "s.status", "s.error_code", F.col("s.at").alias("updated_at"), "queued_at")
 
 
-def live_stats(rows: DataFrame) -> DataFrame:
-    """Counts over (id, stale, review) rows, kept up to date (update mode)."""
-    return rows.groupBy().agg(F.count(F.lit(1)).alias("total"), F.count_if("stale").alias("stale"), F.count_if("review").alias("review"))
+def latest_flags(versions: DataFrame) -> DataFrame:
+    """(id, seq, stale, review) versions reduced to the latest per id; batch or stream (update mode)."""
+    return versions.groupBy("id").agg(F.max_by(F.struct("seq", "stale", "review"), "seq").alias("v")).select("id", "v.*")
+
+
+def live_stats(latest: DataFrame) -> DataFrame:
+    """Counts over the current row of each id, however often it was written."""
+    return latest.groupBy().agg(F.count(F.lit(1)).alias("total"), F.count_if("stale").alias("stale"), F.count_if("review").alias("review"))
 
 
 def job_windows(events: DataFrame, length: str = "1 hour", delay: str = "1 day") -> DataFrame:

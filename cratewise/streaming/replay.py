@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cratewise.sources.folders import scratch_folder
 
 
+ROWS_PER_FILE = 1000
+
+
 def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 3) -> DataFrame:
-    """``rows`` replayed as a stream in ``order``: one file, and one micro-batch, per slice.
+    """``rows`` replayed as a stream in ``order``: one micro-batch per slice.
 
     Slices are written one after the other, because a file stream takes files by
-    age and an early slice read late would count as late data.
+    age and an early slice read late would count as late data. Each slice is
+    dealt over as many files as its rows fill and the session has tasks for,
+    and a trigger takes that many files.
     """
     folder = scratch_folder(spark, "stream-in")
     cuts = rows.approxQuantile(order, [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(tasks, rows.count() // (batches * ROWS_PER_FILE)))
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         part = rows
@@ -22,8 +29,8 @@ def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int =
             part = part.where(F.col(order) >= low)
         if high is not None:
             part = part.where(F.col(order) < high)
-        part.repartition(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str, write=None):

@@ -148,7 +148,8 @@ def test_scan_folder_rules(spark, tmp_path):
     too_deep = tmp_path.joinpath(*"0123456789")
     too_deep.mkdir(parents=True)
     (too_deep / "x.wav").write_bytes(b"1")
-    got = [(r["relative_path"], r["name"], r["size_bytes"]) for r in scan_folder(spark, str(tmp_path)).collect()]
+    got = [(r["relative_path"], r["name"], r["size_bytes"]) for r in scan_folder(spark, str(tmp_path), max_depth=8).collect()]
+    assert scan_folder(spark, str(tmp_path)).count() == 3
     assert got == [("a/b/one.mp3", "one.mp3", 5), ("a/b/two.FLAC", "two.FLAC", 5)]
 
 
