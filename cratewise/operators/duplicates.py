@@ -11,8 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from cratewise.functions.frames import bin_product, pitch_class_matrix
 from cratewise.operators.ordered import with_halo, with_position
-from cratewise.plans.views import FrameGeometry
-from cratewise.schemas import CUE
+from cratewise.schemas import CUE, FrameGeometry
 from cratewise.session import cut_lineage
 
 THRESHOLD = 0.75
@@ -49,19 +48,23 @@ def dup_same_audio(files: DataFrame) -> DataFrame:
     return _shared(unclaimed(files), "audio_hash", "same-audio")
 
 
-def fingerprint(frames: DataFrame, geometry: FrameGeometry, max_frames: int = 2000,
+def fingerprint(frames: DataFrame, geometry: FrameGeometry, max_frames: int | None = None,
                 chunk: int = 4096) -> DataFrame:
-    """One 24-bit word per sampled frame: (track_id, pos, word).
+    """One 24-bit word per frame: (track_id, pos, word).
+
+    With ``max_frames`` only every n-th frame of longer tracks counts; prints
+    of different strides don't compare.
 
     Bit 2b: chroma band b rose since the previous sampled frame; bit 2b+1: it
     is above the next band. Chroma is a row-local matrix product; the look back
     is a one-row halo per chunk, so a long track is many small windows.
     """
-    counts = frames.groupBy("track_id").agg((F.max("frame") + 1).alias("_count"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_count") / max_frames))
-    sampled = (frames.join(counts, "track_id").withColumn("_step", step)
-               .where(F.col("frame") % F.col("_step") == 0)
-               .select("track_id", F.floor(F.col("frame") / F.col("_step")).alias("_j"), "mags"))
+    sampled = frames.select("track_id", F.col("frame").alias("_j"), "mags")
+    if max_frames is not None:
+        counts = frames.groupBy("track_id").agg((F.max("frame") + 1).alias("_count"))
+        step = F.greatest(F.lit(1), F.floor(F.col("_count") / max_frames))
+        sampled = (sampled.join(counts, "track_id").withColumn("_step", step).where(F.col("_j") % F.col("_step") == 0)
+                   .select("track_id", F.floor(F.col("_j") / F.col("_step")).alias("_j"), "mags"))
     raw = bin_product(pitch_class_matrix(geometry, 80, 4000))(F.col("mags"))
     total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
     chroma = (sampled.select("track_id", "_j", raw.alias("_c"))
@@ -81,7 +84,7 @@ def fingerprint(frames: DataFrame, geometry: FrameGeometry, max_frames: int = 20
 
 
 def pack_fingerprints(words: DataFrame) -> DataFrame:
-    """(track_id, words): at most 4 000 words each, by construction of the stride."""
+    """(track_id, words): one word per frame, 4 bytes each."""
     packed = words.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
     return packed.select("track_id", F.transform("w", lambda x: x["word"]).alias("words"))
 

@@ -9,7 +9,7 @@ from cratewise.functions.frames import bin_product, mel_matrix
 from cratewise.functions.numbers import clamp01, half_up
 from cratewise.operators.ordered import with_halo, with_position
 from cratewise.operators.spectrum import CHUNK, mel_bands
-from cratewise.plans.views import FrameGeometry
+from cratewise.schemas import FrameGeometry
 
 # Feature weights, and the range mapped to 0..1.
 ENERGY_WEIGHTS = {"loudness": 0.3, "kick": 0.22, "onset_density": 0.15, "bass": 0.1, "highs": 0.1, "flux": 0.08, "percussive": 0.05}

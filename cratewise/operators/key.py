@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from cratewise.functions import keys as ks
 from cratewise.functions.numbers import clamp01
 
-# Published key profiles, tonic first.
+# Key profiles, tonic first; the first two are published, the third is the analyser's own.
 PROFILES = {
     "krumhansl": {"major": [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88],
                   "minor": [6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]},

@@ -46,13 +46,18 @@ def stale_tracks(tracks: DataFrame, current_version: int = ANALYSIS_VERSION) ->
     return tracks.where(is_stale(current_version))
 
 
+MOST_ANALYZERS = 1000
+
+
 def stale_analyzers(tracks: DataFrame, provenance: DataFrame, expected: DataFrame) -> DataFrame:
     """(track_id, analyzer) pairs without an identical stored run.
 
     ``expected`` is the fixed analyser list (about ten rows), so the pairs are
     made by a row-local explode of that list, not by a join.
     """
-    wanted = [tuple(r) for r in expected.select("analyzer", "version", "params_hash").collect()]
+    wanted = [tuple(r) for r in expected.select("analyzer", "version", "params_hash").limit(MOST_ANALYZERS + 1).collect()]
+    if len(wanted) > MOST_ANALYZERS:
+        raise ValueError("the expected analysers are a fixed list, not a table")
     pairs = tracks.select(F.col("id").alias("track_id"), F.inline(F.array(*[
         F.struct(F.lit(a).alias("analyzer"), F.lit(v).alias("version"), F.lit(p).alias("params_hash"))
         for a, v, p in wanted])))

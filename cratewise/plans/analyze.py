@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from cratewise.operators import (beats as bt, duplicates as du, energy as en, key as ky, pcm as pc, spectrum as sp,
                                  structure as st, tempo as tp)
 from cratewise.operators.ordered import with_halo
-from cratewise.plans.views import FrameGeometry
+from cratewise.schemas import FrameGeometry
 from cratewise.session import cut_lineage
 
 ANALYSIS_RATE = 22050

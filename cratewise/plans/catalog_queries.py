@@ -76,23 +76,22 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0
 t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i, 0 AS kind FROM w
   UNION ALL SELECT doc_id, w[g] || ' ' || w[g + 1], g, 1 FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS g FROM w)),
 f AS (SELECT doc_id, token, min(kind * 1000000 + i) AS p FROM t GROUP BY ALL)
-SELECT doc_id, string_agg(token, '|' ORDER BY p) AS tokens, count(*) AS n FROM f GROUP BY doc_id""")
+SELECT doc_id, coalesce(string_agg(token, '|' ORDER BY p), '') AS tokens, count(token) AS n FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def search_tokens(spark, sf):
     t = tx.search_tokens(F.col("text"))
     return (v.table(spark, sf, "documents").select("doc_id", t.alias("t"))
-            .select("doc_id", F.array_join("t", "|").alias("tokens"), F.size("t").cast("bigint").alias("n"))
-            .where("n > 0"))
+            .select("doc_id", F.array_join("t", "|").alias("tokens"), F.size("t").cast("bigint").alias("n")))
 
 
 @query("pick_search_token", """
 WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM conversations),
 u AS (SELECT conv_id, turn, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w)
-SELECT conv_id, turn, t AS token FROM u QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY
+SELECT conv_id, turn, t AS token FROM conversations LEFT JOIN u USING (conv_id, turn) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY
   t IN ('artist','title','album','recording','song','track','wav','mp3','flac','aac','m4a'),
   NOT regexp_full_match(t, '[0-9]+'), -length(t), i) = 1""")
 def pick_search_token(spark, sf):
     return (v.table(spark, sf, "conversations")
-            .select("conv_id", "turn", tx.pick_token(tx.words(F.col("text"))).alias("token")).where("token is not null"))
+            .select("conv_id", "turn", tx.pick_token(tx.words(F.col("text"))).alias("token")))
 
 
 @query("search_contains", oracle("eff", f"WITH {_KEYS} SELECT {_FLAT} FROM keys WHERE contains(search, 'blue')"))

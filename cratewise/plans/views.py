@@ -7,8 +7,8 @@ Nothing here ranks or groups a whole table: positions come from dense ids.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
+from cratewise.schemas import FrameGeometry
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FRAMES_PER_TRACK = 50
@@ -17,26 +17,6 @@ PCM_CHUNK = 250
 PCM_RATE = 100
 
 
-@dataclass(frozen=True)
-class FrameGeometry:
-    """How a frame table was made: bin b is at b * sample_rate / fft_size Hz."""
-
-    sample_rate: int = 22050
-    fft_size: int = 1024
-    hop_size: int = 256
-
-    @property
-    def frame_rate(self) -> float:
-        return self.sample_rate / self.hop_size
-
-    @property
-    def bins(self) -> int:
-        return self.fft_size // 2 + 1
-
-    def hz(self, b: int) -> float:
-        return b * self.sample_rate / self.fft_size
-
-
 # 64 bins of 175 Hz at 21 frames per second: the geometry given to the vectors.
 VECTOR_GEOMETRY = FrameGeometry(22050, 126, 1050)
 

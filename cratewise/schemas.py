@@ -3,6 +3,8 @@ listing never reads them; automatic and manual values are separate columns."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 ANALYSIS_VERSION = 3
 
 ANCHOR = "struct<time_sec:double,beat_index:int,bpm:double>"
@@ -36,3 +38,23 @@ JOB_EVENTS = (
     "event_id bigint,job_id bigint,run_id bigint,at timestamp,status string,error_code string")
 PROVENANCE = (
     "track_id bigint,analyzer string,version string,params_hash string")
+
+
+@dataclass(frozen=True)
+class FrameGeometry:
+    """How a frame table was made: bin b is at b * sample_rate / fft_size Hz."""
+
+    sample_rate: int = 22050
+    fft_size: int = 1024
+    hop_size: int = 256
+
+    @property
+    def frame_rate(self) -> float:
+        return self.sample_rate / self.hop_size
+
+    @property
+    def bins(self) -> int:
+        return self.fft_size // 2 + 1
+
+    def hz(self, b: int) -> float:
+        return b * self.sample_rate / self.fft_size
