@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cratewise.functions import keys as ks, text as tx
 from cratewise.functions.numbers import round6
-from cratewise.operators import catalog as cat, edits as ed
+from cratewise.operators import catalog as cat, edits as ed, review as rv
 from cratewise.plans import views as v
 from cratewise.plans.registry import Book
 from cratewise.plans.views import oracle, sql6
@@ -42,6 +42,30 @@ def flat(df):
 _FLAT = "id, name, bpm, added_at, review, failed, reviewed, stale"
 
 
+# The same flags where a track also counts as outdated when an expected analyser has no identical stored run.
+_WITH_RUNS = f"""expected AS (SELECT 'a' || n AS analyzer, CASE WHEN n % 2 = 1 THEN 'R' ELSE 'A' END AS version FROM range(1, 3) r(n)),
+old AS (SELECT DISTINCT id FROM eff, expected e WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.track_id = eff.id AND p.analyzer = e.analyzer AND p.version = e.version AND p.params_hash = 'F')),
+{_KEYS.replace('coalesce(analysis_version,0) < 3', '(coalesce(analysis_version,0) < 3 OR id IN (SELECT id FROM old))')
+      .replace('analysed AND analysis_version < 3 AS stale', 'analysed AND (coalesce(analysis_version,0) < 3 OR id IN (SELECT id FROM old)) AS stale')}"""
+
+
+def keys_with_runs(spark, sf):
+    tracks = v.tracks(spark, sf)
+    expected = spark.range(1, 3).selectExpr("concat('a', id) as analyzer", "if(id % 2 = 1, 'R', 'A') as version", "'F' as params_hash")
+    missing = rv.stale_analyzers(tracks, v.provenance(spark, sf), expected)
+    return cat.catalog_keys(tracks, stale_analyzers=missing)
+
+
+@query("catalog_keys_with_runs", oracle("eff provenance", f"WITH {_WITH_RUNS} SELECT {_FLAT} FROM keys"))
+def catalog_keys_with_runs(spark, sf):
+    return flat(keys_with_runs(spark, sf))
+
+
+@query("catalog_stats_with_runs", oracle("eff provenance", f"""WITH {_WITH_RUNS} SELECT count(*) AS total, count(*) FILTER (stale) AS stale, count(*) FILTER (review) AS review FROM keys"""))
+def catalog_stats_with_runs(spark, sf):
+    return keys_with_runs(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if("stale").alias("stale"), F.count_if("review").alias("review"))
+
+
 @query("load_library", oracle("tracks", "SELECT id, name, added_at FROM tracks ORDER BY added_at DESC"))
 def load_library(spark, sf):
     return v.tracks(spark, sf).select("id", "name", "added_at").orderBy(F.desc("added_at"))
