@@ -30,8 +30,8 @@ from cratewise.llm.text import mix, slices
 MODULUS = 183
 COVER = (0, 12, 19, 20, 22, 43, 60, 71, 76, 85, 89, 115, 121, 168)
 ANCHOR = 32  # bytes of the inner strings that choose a suffix's bucket
-BUCKET_BYTES = 32 << 20
-CHUNK = 1 << 22
+BUCKET_BYTES = 16 << 20
+CHUNK = 1 << 20  # bytes of text worked on at once; a task holds some 150 bytes for each
 
 _RATIO = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[str, np.ndarray] = {}
