@@ -9,7 +9,7 @@ log-likelihood ratio of its steps exceeds a threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cratewise.session import cut_lineage
 
@@ -63,7 +63,7 @@ def _states(run: Column) -> Column:
     return F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
 
 
-def fit_markov(docs: DataFrame, *, text: str = "text", sample: int = 5_000, smoothing: float = 0.5) -> DataFrame:
+def fit_markov(docs: DataFrame, *, text: str = "text", sample: int = 5_000, smoothing: float = 0.5, pull: float = 5.0) -> DataFrame:
     """One row ``weights``: the log ratio of each step, random against ordinary.
 
     The labelled sample holds at most ``sample`` documents with a finding and
@@ -88,21 +88,17 @@ def fit_markov(docs: DataFrame, *, text: str = "text", sample: int = 5_000, smoo
     counts = steps.groupBy("_step").agg(F.count_if("_hit").alias("a"), F.count_if(~F.col("_hit")).alias("b"))
     table = (docs.sparkSession.range(0, STATES * STATES, 1, 1).select(F.col("id").cast("int").alias("_step"))
              .join(counts, "_step", "left").na.fill(0, ["a", "b"]))
-    rows = table.agg(F.array_sort(F.collect_list(F.struct("_step", "a", "b"))).alias("c"))
-    per_state = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda p: F.aggregate(
-        F.slice("c", p * STATES + 1, F.lit(STATES)), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")),
-        lambda s, x: F.struct((s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b"))))
-    totals = rows.withColumn("t", per_state).withColumn("all", F.aggregate(
-        "t", F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")),
-        lambda s, x: F.struct((s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b"))))
-
-    def ratio(x: Column) -> Column:
-        of = F.get("t", (x["_step"] / STATES).cast("int"))
-        return (F.log((x["a"] + smoothing) / (of["a"] + smoothing * STATES))
-                - F.log((x["b"] + smoothing) / (of["b"] + smoothing * STATES)))
-
-    both = (F.col("all")["a"] > 0) & (F.col("all")["b"] > 0)
-    return cut_lineage(totals.select(F.transform("c", lambda x: F.when(both, ratio(x)).otherwise(F.lit(0.0))).alias("weights")))
+    before, after, whole = Window.partitionBy(F.floor(F.col("_step") / STATES)), Window.partitionBy(F.col("_step") % STATES), Window.partitionBy(F.lit(0))
+
+    def likelihood(n: str) -> Column:
+        """Of a step, given the state before it, drawn towards the share of the state after it; STATES^2 rows in all."""
+        share = (F.sum(n).over(after) + smoothing) / (F.sum(n).over(whole) + smoothing * STATES)
+        return (F.col(n) + pull * share) / (F.sum(n).over(before) + pull)
+
+    both = (F.sum("a").over(whole) > 0) & (F.sum("b").over(whole) > 0)
+    ratios = table.select("_step", F.when(both, F.log(likelihood("a") / likelihood("b"))).otherwise(F.lit(0.0)).alias("w"))
+    rows = ratios.agg(F.array_sort(F.collect_list(F.struct("_step", "w"))).alias("c"))
+    return cut_lineage(rows.select(F.transform("c", lambda x: x["w"]).alias("weights")))
 
 
 def scan_secrets(docs: DataFrame, weights: DataFrame, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
