@@ -20,10 +20,7 @@ BOOK = Book()
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the likelihood ratio reject."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit_quality(docs, labels)
-    # The row travels as one column, so that no column of the signals can replace one of the documents.
-    rows = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row.text").alias("text"))
-    return quality.judge_quality(rows, model).where("kept").select("_row.*")
+    return quality.kept_documents(docs, quality.fit_quality(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
