@@ -44,7 +44,7 @@ def signatures(docs: DataFrame, *, text: str = "text", size: int = 5, half: int
     schema = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, first array<bigint>, second array<bigint>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             values, offsets = text_shingles(batch.column("text"), size)
             sizes = np.diff(offsets)
             low = _minhashes(values, offsets, 2 * half * rows).reshape(len(sizes), 2 * half, rows)
@@ -75,7 +75,7 @@ def shared_sizes(pairs: DataFrame, texts: DataFrame, *, size: int = 5) -> DataFr
             .select("a", "b", "text_a", "text_b"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a", 4 << 20):
+        for batch in slices(batches, "text_a", 2 << 20):
             sets = []
             for name in ("text_a", "text_b"):
                 coded = batch.column(name).dictionary_encode()
@@ -100,11 +100,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", size: int = 5, perce
 
     Texts with equal shingle sets are collapsed to the least id first, so large
     groups of copies cost one row. In each table, every text is compared with
-    the table key's least id only. Those that do not reach ``percent`` there
-    are compared, in a second step, with the other holders of the key that they
-    could still reach: distances of sets obey the triangle inequality, so a
-    text at distance d from the first can only link to texts whose distance
-    differs by at most the threshold's. Members already joined are left out.
+    one holder of its key only, the one that meets most others over all tables;
+    the copies of a text are near to it. Those that do not reach ``percent``
+    there are compared, in a second step, with the other holders of the key
+    that they could still reach: what two sets share inside the first holder's
+    set is at most the lesser of what each shares with it, and what they share
+    outside is at most the lesser of what each has there that any other set
+    has too. The bound is taken for the key's first holder and for the most
+    central set that both were compared with. It is exact, and members already
+    joined are left out.
 
     Null and empty texts have no shingles and are linked with nothing; they and
     rows without an id are kept. Rows that repeat an id are one document.
@@ -117,35 +121,62 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", size: int = 5, perce
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Stored (a, b, shared, joint) of pairs of distinct ids."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         held = joined_small(texts, needed, ["id"], "left_semi")
         return stored(shared_sizes(pairs, held, size=size).groupBy("a", "b").agg(
             F.max_by(F.struct("shared", "joint"), F.col("shared") / F.col("joint")).alias("s")).select("a", "b", "s.*"), "confirmed")
 
-    lead = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    star = stored(keys.join(lead, "key").select("key", "id", "n", F.col("c.id").alias("lead"), F.col("c.n").alias("lead_n")), "stars")
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = stored(keys.join(held, "key"), "met")
+    central = met.groupBy("id").agg(F.sum("held").alias("met"))
+    lead = met.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("i"), "n")).alias("c"))
+    star = stored(met.join(lead, "key").select("key", "id", "n", (-F.col("c.i")).alias("lead"), F.col("c.n").alias("lead_n")), "stars")
     pairs = stored(star.where("id <> lead").where(_sizes_allow("n", "lead_n", percent))
                    .select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     tested = confirm(pairs)
     good = F.expr(f"100 * shared >= {percent} * joint")
     joined = stored(connected_components(tested.where(good)), "components")
 
-    # Second step: holders of a key that are not joined with its least id.
-    near = (tested.select(F.col("a").alias("id"), F.col("b").alias("lead"), (1 - F.col("shared") / F.col("joint")).alias("d")))
-    placed = (star.join(near, ["id", "lead"], "left")
-              .withColumn("d", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("d")))
+    # Second step: holders of a key that are not joined with its first holder.
+    placed = (star.join(tested.select(F.col("a").alias("id"), F.col("b").alias("lead"), "shared"), ["id", "lead"], "left")
               .join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     lead_component = joined.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    placed = stored(placed.join(lead_component, "lead", "left")
+    placed = stored(placed.join(lead_component, "lead", "left").where("id <> lead")
                     .withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead")), "placed")
-    radius = 1 - percent / 100 + 1e-9
-    apart = placed.where("apart").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"),
-                                         F.col("component").alias("component_a"))
-    more = (apart.join(placed.where("id <> lead"), "key").where("a <> id and component_a <> component")
-            .where((~F.col("apart")) | (F.col("a") < F.col("id")))
-            .where(_sizes_allow("n_a", "n", percent))
-            .where(F.coalesce(F.abs(F.col("d_a") - F.col("d")) <= radius, F.lit(True)))
-            .select("a", F.col("id").alias("b")).distinct())
+    open_keys = placed.groupBy("key").agg(F.max("apart").alias("open"), F.count(F.lit(1)).alias("held")).where("open and held > 1").select("key")
+    around = stored(placed.join(open_keys, "key", "left_semi"), "around")
+    # The most central of all sets that a member was compared with; most members of a large group have the same.
+    main = (tested.join(central.select(F.col("id").alias("b"), "met"), "b").groupBy("a")
+            .agg(F.max(F.struct("met", (-F.col("b")).alias("i"), "shared")).alias("m"))
+            .select(F.col("a").alias("id"), (-F.col("m.i")).alias("main"), F.col("m.shared").alias("main_shared")))
+    around = stored(around.join(main, "id", "left"), "around")
+    members = around.select("id").union(around.select("lead")).union(around.select("main").where("main is not null")).distinct()  # so that what is held by no other lies outside the first holder's set
+    again = sets.groupBy("id").count().where("count > 1").select("id")  # an id with several texts has no part of its own
+    own = _held_by_no_other(joined_small(texts, members, ["id"], "left_semi"), size).join(again, "id", "left_anti")
+    around = around.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    around = stored(around.select("key", "id", "n", "component", "apart", "main", "main_shared", (F.col("n") - F.col("own")).alias("reach"),
+                                  F.coalesce("shared", F.col("n") - F.col("own")).alias("inside"),
+                                  F.when(F.col("shared").isNull(), F.col("n") - F.col("own"))
+                                  .otherwise(F.col("n") - F.col("own") - F.col("shared")).alias("outside")), "around")
+    # A set whose own part alone keeps it below the similarity can link to nothing.
+    able = around.where(f"{100 + percent} * reach >= {percent} * (n + reach)")
+
+    def pairs_of(rows: DataFrame, on: str, bound: str, also: str) -> DataFrame:
+        """Pairs of rows equal in ``on``, in other components, that the bound allows."""
+        x, y = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "xy")
+        return (x.where("apart_x").join(y, F.col(f"{on}_x") == F.col(f"{on}_y"))
+                .where("id_x <> id_y and component_x <> component_y and (not apart_y or id_x < id_y)").where(also)
+                .where(f"{100 + percent} * least({bound}, reach_x, reach_y) >= {percent} * (n_x + n_y)")
+                .select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
+
+    # Sets with the same central set meet once by it, whatever the number of tables they share; the others by their keys.
+    main_component = joined.select(F.col("id").alias("main"), F.col("component").alias("main_component"))
+    by_main = (able.where("main is not null").select("id", "n", "component", "main", "main_shared", "reach").distinct()
+               .join(main_component, "main", "left")
+               .withColumn("apart", F.col("component") != F.coalesce("main_component", "main")).drop("main_component"))
+    central_pairs = pairs_of(by_main, "main", "least(main_shared_x, main_shared_y) + least(reach_x - main_shared_x, reach_y - main_shared_y)", "true")
+    other_pairs = pairs_of(able, "key", "least(inside_x, inside_y) + least(outside_x, outside_y)", "coalesce(main_x <> main_y, true)")
+    more = central_pairs.unionByName(other_pairs).distinct()
     more = stored(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         tested = tested.unionByName(confirm(more))
@@ -157,6 +188,22 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", size: int = 5, perce
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _held_by_no_other(texts: DataFrame, size: int) -> DataFrame:
+    """(id, own): how many shingles of each text no other text of these has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            values, offsets = text_shingles(batch.column("text"), size)
+            owner = np.repeat(batch.column("id").to_numpy(), np.diff(offsets))
+            found, first, counts = np.unique(values, return_index=True, return_counts=True)
+            several = pa.array(counts > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(owner[first]), several], names=["mark", "id", "several"])
+
+    seen = texts.mapInArrow(work, "mark bigint, id bigint, several boolean").groupBy("mark").agg(
+        F.count(F.lit(1)).alias("times"), F.max("several").alias("several"), F.max("id").alias("id"))
+    return seen.where("times = 1 and not several").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _sizes_allow(a: str, b: str, percent: int):
     """Sets whose sizes differ too much cannot reach the similarity."""
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
