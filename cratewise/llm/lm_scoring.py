@@ -7,9 +7,11 @@ own occurrences are taken from its count, so a text cannot vouch for itself.
              = backoff * c(w) / N             otherwise
     S(w)     = c(w) / N                       for the first word
 
-Count tables and exploded bigrams meet by hash partition, and the log scores
-are summed per document; neither texts nor counts pass the driver but for the
-vocabulary, whose size is a parameter.
+Every word and every bigram of the corpus is counted. A bigram of one document
+needs only c(w), one of several documents only c(v), so each distinct bigram
+looks up one word count. Count tables and exploded bigrams meet by hash
+partition, and the log scores are summed per document; neither texts nor counts
+pass the driver, unless a caller asks for a bounded vocabulary.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cratewise.llm.storage import stored
-from cratewise.llm.text import slices, word_hashes
+from cratewise.llm.text import mix, slices, word_hashes
 
 CLASSES = 90  # classes of frequency per factor e
+# In place of the hash of a word: one outside a bounded vocabulary, what stands before a text's first word, and before a word that forms no bigram.
+UNKNOWN, START, ALONE = 0, 1, 2
 
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -39,105 +43,116 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return stored(counted.groupBy("h").agg(F.sum("c").alias("c")), "words")
 
 
-def vocabulary(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and counts of the most frequent words, at most ``limit``, and the number of all words.
+def vocabulary(counts: DataFrame, limit: int) -> DataFrame:
+    """(h, c) of the most frequent words, at most ``limit``.
 
     Words of one frequency class are taken or left together, so there are no
-    ties to break. The other words share the place of the unknown word.
+    ties to break.
     """
     ranked = counts.withColumn("class", F.floor(F.log("c") * CLASSES + 1e-9))
-    sizes = sorted(((r["class"], r["n"], r["c"]) for r in ranked.groupBy("class").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()), reverse=True)  # at most 64 * CLASSES rows
+    sizes = sorted(((r["class"], r["n"]) for r in ranked.groupBy("class").agg(
+        F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 64 * CLASSES rows
     held, least = 0, math.inf
-    for level, n, _ in sizes:
+    for level, n in sizes:
         if held + n > limit:
             break
         held, least = held + n, level
-    total = sum(c for _, _, c in sizes)
-    rows = [] if math.isinf(least) else ranked.where(F.col("class") >= least).select("h", "c").collect()
-    hashes, numbers = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], numbers[order], total
+    return ranked.where(F.col("class") >= F.lit(least)).select("h", "c")
 
 
-def score_documents(docs: DataFrame, *, text: str = "text", limit: int = 1 << 16, backoff: float = 0.4) -> DataFrame:
+def _code(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64 bits for two words; ``_second`` gives the second word back."""
+    return ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ after
+
+
+def _second(code: Column, before: Column) -> Column:
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(code)
+
+
+def score_documents(docs: DataFrame, *, text: str = "text", limit: int | None = None, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_words, n_seen (bigrams that another document has), score and per_word.
 
     ``score`` is the sum of natural logs of S over the words, lower-cased within
-    ASCII; ``per_word`` its mean. ``limit`` bounds the vocabulary (a parameter
-    of the model, like its order); words outside share one unigram count and
-    form no bigrams, so they and their successors back off. Null and empty
-    texts have no words, score 0 and null ``per_word``. Rows that repeat an id
-    are added up; each takes only its own occurrences out.
+    ASCII; ``per_word`` its mean. Every word has its own count, unless a caller
+    bounds the vocabulary by ``limit``: then words outside share one unigram
+    count and form no bigrams, so they and their successors back off. Null and
+    empty texts have no words, score 0 and null ``per_word``. Rows that repeat
+    an id are added up; each takes only its own occurrences out.
     """
-    hashes, counts, total = vocabulary(word_counts(docs, text=text), limit)
-    unknown = total - int(counts.sum())
-    size = len(hashes)
-    logs = np.log(np.maximum(np.append(counts, unknown), 1)) - math.log(max(total, 1))
-    step_down = math.log(backoff)
-
-    def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary place of each word (``size`` for others), and the offsets of the texts."""
+    spark = docs.sparkSession
+    counts = word_counts(docs, text=text)
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    held = None
+    if limit is not None:
+        known = vocabulary(counts, limit)
+        rows = known.collect()  # at most ``limit`` rows
+        held = np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+        rest = max(total - sum(r["c"] for r in rows), 1)
+        counts = known.unionByName(spark.createDataFrame([(UNKNOWN, rest)], "h bigint, c bigint"))
+    step_down, log_total = math.log(backoff), math.log(max(total, 1))
+
+    def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: its text, what stands before it, itself; and the number of words of each text."""
         found, offsets = word_hashes(texts)
-        if not size:
-            return np.full(len(found), size, np.int64), offsets
-        at = np.searchsorted(hashes, found)
-        at[at == size] = 0
-        return np.where(hashes[at] == found, at, size), offsets
-
-    def pairs(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each word follows another in its text, whether both are known, and the code of the two."""
-        follows = np.ones(len(ids), bool)
+        before = np.empty_like(found)
+        before[1:] = found[:-1]
+        if held is not None:
+            inside = held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found if len(held) else np.zeros(len(found), bool)
+            found = np.where(inside, found, np.uint64(UNKNOWN))
+            both = inside.copy()
+            both[1:] &= inside[:-1]
+            before[~both] = ALONE
         starts = offsets[:-1]
-        follows[starts[starts < len(ids)]] = False
-        before = np.concatenate([[size], ids[:-1]]) if len(ids) else ids
-        return follows, follows & (ids < size) & (before < size), before * size + ids
+        before[starts[starts < offsets[1:]]] = START
+        sizes = np.diff(offsets)
+        return np.repeat(np.arange(len(sizes)), sizes), before, found, sizes
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Occurrences of each bigram in a batch, and whether one text (1) or several (2) have it."""
         for batch in slices(batches, "text"):
-            _, known, code = pairs(*codes(batch.column("text")))
-            found, n = np.unique(code[known], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["code", "n"])
+            owner, before, after, _ = pairs(batch.column("text"))
+            code = _code(before, after)
+            order = np.argsort(code)
+            code = code[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(code), 1), bool), code[1:] != code[:-1]]))
+            if not len(first):
+                continue
+            owner = owner[order]
+            several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(code[first].view(np.int64)), pa.array(before[order[first]].view(np.int64)),
+                pa.array(np.diff(np.append(first, len(code)))), pa.array(1 + several.astype(np.int64))], names=["code", "v", "n", "d"])
 
     def explode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each bigram of a document, and one with a negative code for what needs no bigram count."""
-        serial = 0
+        """A row for each bigram of a document, and one without words for a document that has none."""
         for batch in slices(batches, "text"):
-            ids, offsets = codes(batch.column("text"))
-            follows, known, code = pairs(ids, offsets)
-            rows = len(offsets) - 1
-            owner = np.repeat(np.arange(rows), np.diff(offsets))
-            alone = ~known
-            base = np.bincount(owner[alone], weights=logs[ids[alone]] + step_down * follows[alone], minlength=rows)
-            order = np.lexsort((code[known], owner[known]))
-            who, what = owner[known][order], code[known][order]
+            owner, before, after, sizes = pairs(batch.column("text"))
+            code = _code(before, after)
+            order = np.lexsort((code, owner))
+            who, what = owner[order], code[order]
             new = np.ones(len(who), bool)
             new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(who)))
-            spread = -1 - (serial + np.arange(rows))  # no two of a task are alike, so no code is shared by all documents
-            serial += rows
-            doc = batch.column("doc_id")
+            none = np.flatnonzero(sizes == 0)
+            spread = mix(none.astype(np.uint64) + np.uint64(1))  # codes without meaning, so that empty texts don't meet in one task
             yield pa.RecordBatch.from_arrays([
-                doc.take(pa.array(np.concatenate([who[first], np.arange(rows)]))),
-                pa.array(np.concatenate([what[first], spread])), pa.array(np.concatenate([n, np.diff(offsets)]).astype(np.int64)),
-                pa.array(np.concatenate([np.zeros(len(first)), base]))], names=["doc_id", "code", "n", "base"])
+                batch.column("doc_id").take(pa.array(np.concatenate([who[first], none]))),
+                pa.array(np.concatenate([what[first], spread]).view(np.int64)),
+                pa.array(np.concatenate([n, np.zeros(len(none), np.int64)]))], names=["doc_id", "code", "n"])
 
-    spark = docs.sparkSession
     source = docs.select("doc_id", F.col(text).alias("text"))
-    words = F.broadcast(spark.createDataFrame(  # at most ``limit`` rows
-        [(k, float(math.log(c)), float(logs[k])) for k, c in enumerate(counts)], "place bigint, log_count double, log_share double"))
-    table = (source.mapInArrow(count_pairs, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("c"))
-             .withColumn("_v", F.floor(F.col("code") / F.lit(max(size, 1)))).withColumn("_w", F.col("code") % F.lit(max(size, 1)))
-             .join(words.select(F.col("place").alias("_v"), "log_count"), "_v")
-             .join(words.select(F.col("place").alias("_w"), "log_share"), "_w")
-             .select("code", "c", "log_count", "log_share"))
-    exploded = source.mapInArrow(explode_pairs, "doc_id bigint, code bigint, n bigint, base double")
-    joined = exploded.join(table, "code", "left")
-    single, seen = F.col("code") < 0, F.col("c") > F.col("n")
-    value = (F.when(single, F.col("base")).when(seen, F.col("n") * (F.log(F.col("c") - F.col("n")) - F.col("log_count")))
-             .otherwise(F.col("n") * (step_down + F.col("log_share"))))
+    bigrams = source.mapInArrow(count_pairs, "code bigint, v bigint, n bigint, d bigint").groupBy("code").agg(
+        F.min("v").alias("v"), F.sum("n").alias("c"), F.sum("d").alias("d"))  # v follows from the code
+    shared = (F.col("d") > 1) & ~F.col("v").isin(START, ALONE)
+    asked = bigrams.select("code", F.when(shared, F.col("c")).alias("c"), (F.col("v") == START).alias("first"),
+                           F.when(shared, F.col("v")).otherwise(_second(F.col("code"), F.col("v"))).alias("h"))
+    unit = F.when(F.col("c").isNotNull(), -F.log("of")).otherwise(
+        F.log("of") - log_total + F.when(F.col("first"), 0.0).otherwise(step_down))
+    table = asked.join(counts.withColumnRenamed("c", "of").hint("shuffle_hash"), "h").select("code", "c", unit.alias("unit"))
+    joined = source.mapInArrow(explode_pairs, "doc_id bigint, code bigint, n bigint").join(table, "code", "left")
+    seen = (F.col("c") > F.col("n")) & (F.col("n") > 0)
+    value = F.when(F.col("n") > 0, F.col("n") * (F.col("unit") + F.when(seen, F.log(F.col("c") - F.col("n"))).otherwise(0.0))).otherwise(0.0)
     sums = joined.groupBy("doc_id").agg(
-        F.sum(F.when(single, F.col("n"))).alias("n_words"), F.coalesce(F.sum(F.when(~single & seen, F.col("n"))), F.lit(0)).alias("n_seen"),
-        F.sum(value).alias("score"))
+        F.sum("n").alias("n_words"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("n_seen"), F.sum(value).alias("score"))
     return sums.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -47,3 +47,11 @@ def test_copies_vouch_for_each_other_and_empty_table(spark):
     rows = {r["doc_id"]: r["n_seen"] for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
     assert rows == {0: 2, 1: 2, 2: 0}
     assert lm_scoring.score_documents(documents(spark, [])).count() == 0
+
+
+def test_bigrams_of_rare_words_are_counted_however_many_words_there_are(spark):
+    rare = [f"r{k}" for k in range(66_000)]  # each in two texts, so that no fixed vocabulary of 65 536 holds any
+    texts = [" ".join(rare[k:k + 1000]) for k in range(0, 66_000, 1000)] * 2
+    rows = {r["doc_id"]: r for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
+    for i, (n, seen, _) in enumerate(plain(texts, limit=1 << 30)):
+        assert (rows[i]["n_words"], rows[i]["n_seen"]) == (n, seen) == (1000, 999), i
