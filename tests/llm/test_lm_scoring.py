@@ -55,3 +55,13 @@ def test_bigrams_of_rare_words_are_counted_however_many_words_there_are(spark):
     rows = {r["doc_id"]: r for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
     for i, (n, seen, _) in enumerate(plain(texts, limit=1 << 30)):
         assert (rows[i]["n_words"], rows[i]["n_seen"]) == (n, seen) == (1000, 999), i
+
+
+def test_rare_words_share_no_unknown_word(spark):
+    often = [f"o{k}" for k in range(66_000)]
+    texts = [" ".join(often[k:k + 1000] * 2) for k in range(0, 66_000, 1000)] + ["z1 z2 z3 z4", "o1 o5 o9 o13"]
+    rows = {r["doc_id"]: r for r in lm_scoring.score_documents(documents(spark, texts)).collect()}
+    expected = dict(enumerate(plain(texts, limit=1 << 30)))
+    assert rows[66]["score"] == pytest.approx(expected[66][2], abs=1e-6)
+    assert rows[66]["score"] == pytest.approx(4 * math.log(1 / 132_008) + 3 * math.log(0.4), abs=1e-6)  # words that occur once
+    assert rows[67]["score"] > rows[66]["score"]
