@@ -123,7 +123,7 @@ def page_offset(keys: DataFrame, text: str = "", flag: str = "all", sort: str =
         page = page_from_tail(found, sort, total, start, take)
     else:
         numbered = with_position(found, sort_order(sort), "_pos")
-        page = numbered.where(F.col("_pos").between(start, start + take - 1)).drop("_pos")
+        page = numbered.where(F.col("_pos").between(start, start + take - 1)).drop("_pos").orderBy(*sort_order(sort))
     return page.withColumns({"total": F.lit(total).cast("bigint"), "offset": F.lit(start).cast("bigint")})
 
 

@@ -200,3 +200,14 @@ def test_keyset_pages_cover_the_list_once(spark):
         seen += [r["id"] for r in page]
         after = (page[-1]["bpm"], page[-1]["id"])
     assert seen == [r["id"] for r in keys.orderBy("bpm", "id").collect()]
+
+
+@pytest.mark.parametrize("sort", ["name", "bpm", "added"])
+def test_middle_page_is_in_order(spark, monkeypatch, sort):
+    from cratewise.operators import catalog as cat
+    keys = cat.catalog_keys(v.tracks(spark, SF)).cache()
+    whole = [r["id"] for r in keys.orderBy(*cat.sort_order(sort)).collect()]
+    monkeypatch.setattr(cat, "TOP_K_LIMIT", 40)
+    page = cat.page_offset(keys, sort=sort, offset=90, limit=30)
+    assert [r["id"] for r in page.collect()] == whole[90:120]
+    assert "Sort" in page._jdf.queryExecution().optimizedPlan().toString().split("Project")[1]  # stated by the plan, not left to how rows happen to lie
