@@ -178,7 +178,7 @@ for _name, _bar, _mine in (("phase_align", False, "coalesce(mi.i, 0)"),
                            ("phase_align_bar", True, "greatest(0, least(floor(coalesce(mi.i, 0) / 4 + 0.5)::BIGINT * 4, mnb.m - 4))")):
     @query(_name, oracle("beats", "WITH " + _ALIGN.replace("MINE", _mine)))
     def phase_align(spark, sf, bar=_bar):
-        return bt.phase_align(grid_pairs(spark, sf), bar).where("seek_sec is not null").select("event_id", round6(F.col("seek_sec")).alias("seek_sec"))
+        return bt.phase_align(grid_pairs(spark, sf), bar).select("event_id", round6(F.col("seek_sec")).alias("seek_sec"))
 
 
 # --- structure --------------------------------------------------------------------------

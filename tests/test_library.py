@@ -202,6 +202,17 @@ def test_keyset_pages_cover_the_list_once(spark):
     assert seen == [r["id"] for r in keys.orderBy("bpm", "id").collect()]
 
 
+@pytest.mark.parametrize("name", ["phase_align", "phase_align_bar"])
+def test_events_without_a_phase_are_kept(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from cratewise.plans import feature_queries as fq
+    late = fq.grid_pairs(spark, SF).where("event_id <= 20").withColumn("o_position_sec", F.when(F.col("event_id") == 7, 1e9).otherwise(F.col("o_position_sec")))
+    monkeypatch.setattr(fq, "grid_pairs", lambda spark, sf: late)  # past the last beat there is no phase
+    rows = {r["event_id"]: r["seek_sec"] for r in entry.queries()[name](spark, SF).collect()}
+    assert 7 in rows and len(rows) == late.count() > 10
+    assert [e for e, x in rows.items() if x is None] == [7]
+
+
 @pytest.mark.parametrize("sort", ["name", "bpm", "added"])
 def test_middle_page_is_in_order(spark, monkeypatch, sort):
     from cratewise.operators import catalog as cat
