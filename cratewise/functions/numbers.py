@@ -27,24 +27,27 @@ def log2(col: Column) -> Column:
     return F.log2(col)
 
 
-def fold_range(value: Column, low: float, high: float, steps: int = 8) -> Column:
-    """Double until >= low, then halve until <= high, at most ``steps`` each.
+def fold_range(value: Column, low: float, high: float) -> Column:
+    """Double until >= low, then halve until <= high, however far the value lies outside.
 
-    Closed form: the number of doublings is ceil(log2(low/value)). log2 can be
-    off by an ulp exactly at a power of two, so both edges are re-tested.
+    Closed form: the number of doublings is ceil(log2(low) - log2(value)). log2
+    can be off by an ulp exactly at a power of two, so both edges are re-tested.
+    Values that no doubling brings into the range (zero, negative, infinite) stay.
     """
+    def scaled(x: Column, n: Column) -> Column:
+        """x * 2^n in two steps, since 2^n alone may be beyond a double."""
+        half = F.floor(n / 2)
+        return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), n - half)
+
     def corrected(n: Column, fits) -> Column:
-        n = F.greatest(F.lit(0), F.least(F.lit(steps), n)).cast("int")
+        n = F.greatest(F.lit(0), n).cast("int")
         smaller = F.greatest(F.lit(0), n - 1)
-        larger = F.least(F.lit(steps), n + 1)
-        return F.when(fits(smaller), smaller).when(fits(n), n).otherwise(larger)
-
-    ups = corrected(F.ceil(log2(F.lit(low) / value)),
-                    lambda n: value * F.pow(F.lit(2.0), n) >= F.lit(low))
-    lifted = value * F.pow(F.lit(2.0), ups)
-    downs = corrected(F.ceil(log2(lifted / F.lit(high))),
-                      lambda n: lifted / F.pow(F.lit(2.0), n) <= F.lit(high))
-    return lifted / F.pow(F.lit(2.0), downs)
+        return F.when(fits(smaller), smaller).when(fits(n), n).otherwise(n + 1)
+
+    ups = corrected(F.ceil(log2(F.lit(low)) - log2(value)), lambda n: scaled(value, n) >= F.lit(low))
+    lifted = scaled(value, ups)
+    downs = corrected(F.ceil(log2(lifted) - log2(F.lit(high))), lambda n: scaled(lifted, -n) <= F.lit(high))
+    return F.when((value > 0) & (value < float("inf")), scaled(lifted, -downs)).otherwise(value)
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:

@@ -170,3 +170,18 @@ def test_registered_analyzer_sees_bounded_chunks(spark):
     out = run_analyzer("loudest", frames, chunk=10, before=2).collect()
     assert len(out) == 100 and max(r["n"] for r in out) <= 12
     assert all(r["top"] == max(float(r["frame"]), 0.5) for r in out)
+
+
+def test_tempo_is_folded_from_any_distance(spark):
+    from cratewise.functions.numbers import fold_range
+    values = [1e-300, 0.001, 0.1, 0.3, 78 / 512, 78 / 256, 39.0, 77.999, 78.0, 100.0, 165.0, 165.001, 330.0, 165.0 * 256, 165.0 * 512, 50_000.0, 1e6, 1e300]
+
+    def plain(x):
+        while x < 78:
+            x *= 2
+        while x > 165:
+            x /= 2
+        return x
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*values, 0.0, -3.0, None])], "i int, x double")
+    found = [r["y"] for r in rows.select("i", fold_range(F.col("x"), 78.0, 165.0).alias("y")).orderBy("i").collect()]
+    assert found == [*map(plain, values), 0.0, -3.0, None]
