@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import containment, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, repeats, secret_scan
-from cratewise.llm.text import prepare
+from cratewise.llm import (containment, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, repeats, secret_scan,
+                           squares, whitening)
+from cratewise.llm.text import prepare, words
 from cratewise.plans.registry import Book
 
 BOOK = Book()
@@ -126,3 +127,41 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("op5_repeated_bytes")
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@BOOK.query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors)
+    error = whitening.identity_error(vectors, model)
+    return whitening.whiten(vectors, model).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained",
+        F.lit(error).cast("double").alias("identity_error"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the crc32 of its id, repeats one stretch of its words from some word on; the others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("bigint")
+    n = F.size("_words").cast("bigint")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
+    fresh = F.array_join(F.transform(at, lambda i: F.get("_words", i.cast("int"))), " ")
+    chosen = F.coalesce(F.pmod(h, F.lit(10)) == 0, F.lit(False))
+    planted = docs.withColumn("_words", F.when(chosen, words(F.col("text"))))  # other texts are not split
+    return planted.select("doc_id", F.when(F.size("_words") > 0, fresh).otherwise(F.col("text")).alias("text"))
+
+
+@BOOK.query("op12_dyadic_runs")
+def op12_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = squares.find_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("least"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.least")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.least")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
