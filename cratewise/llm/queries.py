@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cratewise.llm import (containment, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, repeats, secret_scan,
+from cratewise.llm import (containment, factor_quality, html_blocks, lm_scoring, minhash_tensor, packing, pseudonyms, quality, repeats, secret_scan,
                            squares, whitening)
 from cratewise.llm.text import prepare, words
 from cratewise.plans.registry import Book
@@ -139,6 +139,19 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(error).cast("double").alias("identity_error"))
 
 
+def held_out(id: str = "doc_id"):
+    """Whether a document is kept from training: a fifth of all, by the crc32 of its id; null ids are not."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string")), F.lit(5)) == 0, F.lit(False))
+
+
+@BOOK.query("op11_factor_quality")
+def op11_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
+    scored = factor_quality.score_quality(docs, factor_quality.fit_factors(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """Every tenth text, by the crc32 of its id, repeats one stretch of its words from some word on; the others stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))
