@@ -1,17 +1,18 @@
-"""Stupid-backoff scores of all documents under the corpus's own bigram counts.
+"""Stupid-backoff scores of all documents under the corpus's own n-gram counts.
 
-A bigram counts as seen only if another document holds it too: the document's
-own occurrences are taken from its count, so a text cannot vouch for itself.
+With counts c without the document's own occurrences, so that a text cannot
+vouch for itself, and N words in all other documents:
 
-    S(w | v) = (c(v w) - own(v w)) / c(v)     if another document has v w
-             = backoff * c(w) / N             otherwise
-    S(w)     = c(w) / N                       for the first word
+    S(w | u v) = c(u v w) / c(u v)     if another document has u v w
+               = backoff * S(w | v)    otherwise
+    S(w)       = max(c(w), 1) / N
 
-Every word and every bigram of the corpus is counted. A bigram of one document
-needs only c(w), one of several documents only c(v), so each distinct bigram
-looks up one word count. Count tables and exploded bigrams meet by hash
-partition, and the log scores are summed per document; neither texts nor counts
-pass the driver, unless a caller asks for a bounded vocabulary.
+Every n-gram up to the order is counted. Documents are cut into words once, and
+stored as batches of word numbers. A batch holds each of its n-grams once and
+asks for its count in the bucket that its hash falls into; there the counts of
+all batches are added up and sent back, in the order asked. So what is shuffled
+is a few bytes for each distinct n-gram of a batch, however often it occurs, and
+an n-gram that every document holds is one row a batch.
 """
 
 from __future__ import annotations
@@ -21,138 +22,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from cratewise.llm.storage import stored
 from cratewise.llm.text import mix, slices, word_hashes
 
-CLASSES = 90  # classes of frequency per factor e
-# In place of the hash of a word: one outside a bounded vocabulary, what stands before a text's first word, and before a word that forms no bigram.
-UNKNOWN, START, ALONE = 0, 1, 2
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+BATCH_BYTES = 16 << 20  # of text in a batch, if no single text is longer
+BUCKET_WORDS = 2_000_000  # words of the corpus per bucket and order
 
 
-def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(h, c): how often each word occurs in all texts, by its 64-bit hash; stored."""
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned integers, their bytes grouped by significance and compressed."""
+    raw = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if len(x) else b"")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, counts = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "c"])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(work, "h bigint, c bigint")
-    return stored(counted.groupBy("h").agg(F.sum("c").alias("c")), "words")
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def vocabulary(counts: DataFrame, limit: int) -> DataFrame:
-    """(h, c) of the most frequent words, at most ``limit``.
+def packed_sorted(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
-    Words of one frequency class are taken or left together, so there are no
-    ties to break.
-    """
-    ranked = counts.withColumn("class", F.floor(F.log("c") * CLASSES + 1e-9))
-    sizes = sorted(((r["class"], r["n"]) for r in ranked.groupBy("class").agg(
-        F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 64 * CLASSES rows
-    held, least = 0, math.inf
-    for level, n in sizes:
-        if held + n > limit:
-            break
-        held, least = held + n, level
-    return ranked.where(F.col("class") >= F.lit(least)).select("h", "c")
 
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
-def _code(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """64 bits for two words; ``_second`` gives the second word back."""
-    return ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ after
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of about BATCH_BYTES of text, made of smaller or larger ones."""
+    held, size = [], 0
+    for batch in slices(batches, "text", BATCH_BYTES):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-def _second(code: Column, before: Column) -> Column:
-    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(code)
 
+def token_batches(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(batch, n, ids, sizes, words, codes): documents as word numbers, stored; ``words`` are the hashes behind the numbers, ascending."""
+    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
-def score_documents(docs: DataFrame, *, text: str = "text", limit: int | None = None, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_words, n_seen (bigrams that another document has), score and per_word.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for k, rows in enumerate(_gathered(batches)):
+            hashes, offsets = word_hashes(rows.column("text").combine_chunks())
+            found, codes = np.unique(hashes, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([task << 32 | k], pa.int64()), pa.array([len(codes)], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column("id").combine_chunks()),
+                pa.array([packed(np.diff(offsets))], pa.binary()), pa.array([packed_sorted(found)], pa.binary()),
+                pa.array([packed(codes)], pa.binary())], names=["batch", "n", "ids", "sizes", "words", "codes"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return stored(source.mapInArrow(work, f"batch bigint, n bigint, ids array<{kind}>, sizes binary, words binary, codes binary"), "tokens")
+
+
+def _grams(words: bytes, codes: bytes, sizes: bytes, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The row of each word; and for each order, the n-gram that ends at each word and whether the text has one there."""
+    n = unpacked(sizes).astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    hashes = unpacked_sorted(words)[unpacked(codes).astype(np.int64)]
+    out, gram = [(hashes, np.ones(len(hashes), bool))], hashes
+    for k in range(1, order):
+        before = np.concatenate([[np.uint64(0)], gram[:-1]]) if len(gram) else gram
+        with np.errstate(over="ignore"):
+            gram = mix(before * GOLDEN + hashes)
+        out.append((gram, within >= k))
+    return owner, out
+
+
+def _asked(batches: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(part, batch, keys, counts): the distinct n-grams of each batch, by order and bucket of their hash."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in rows for r in batch.to_pylist()):
+            _, grams = _grams(row["words"], row["codes"], row["sizes"], order)
+            for k, (gram, there) in enumerate(grams):
+                keys, counts = np.unique(gram[there], return_counts=True)
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((k * buckets + full).astype(np.int32)), pa.array([row["batch"]] * len(full), pa.int64()),
+                    pa.array([packed_sorted(keys[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
+                    pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())], names=["part", "batch", "keys", "counts"])
+
+    return batches.select("batch", "words", "codes", "sizes").mapInArrow(work, "part int, batch bigint, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(batch, part, totals): the counts of all batches together, in the order in which each batch asked."""
+    def work(rows: pa.Table) -> pa.Table:
+        keys = [unpacked_sorted(x) for x in rows.column("keys").to_pylist()]
+        counts = np.concatenate([unpacked(x) for x in rows.column("counts").to_pylist()])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.zeros(len(found), np.uint64)
+        np.add.at(totals, at, counts)
+        parts = np.split(totals[at], np.cumsum([len(x) for x in keys])[:-1])
+        return pa.table({"batch": rows.column("batch"), "part": rows.column("part"), "totals": pa.array([packed(x) for x in parts], pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(work, "batch bigint, part int, totals binary")
+
+
+def _own(gram: np.ndarray, there: np.ndarray, owner: np.ndarray, totals: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, the count of the n-gram that ends there in all documents and, if asked for, in its own; 0 where there is none."""
+    found, at = np.unique(gram[there], return_inverse=True)
+    every, own = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
+    every[there] = totals[at].astype(np.int64)
+    if leave_out and len(found):
+        _, place, counts = np.unique(owner[there] * len(found) + at, return_inverse=True, return_counts=True)
+        own[there] = counts[place]
+    return every, own
+
+
+def score_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", order: int = 2, backoff: float = 0.4,
+                    leave_out: bool = True) -> DataFrame:
+    """id, n_words, n_seen (words scored without backing off to order one), score and per_word.
 
     ``score`` is the sum of natural logs of S over the words, lower-cased within
-    ASCII; ``per_word`` its mean. Every word has its own count, unless a caller
-    bounds the vocabulary by ``limit``: then words outside share one unigram
-    count and form no bigrams, so they and their successors back off. Null and
-    empty texts have no words, score 0 and null ``per_word``. Rows that repeat
-    an id are added up; each takes only its own occurrences out.
+    ASCII; ``per_word`` its mean. ``leave_out`` takes a document's own
+    occurrences from every count, or from none; a word that no other document
+    has counts as one occurrence. Null and empty texts have no words, score 0
+    and null ``per_word``. Each row leaves out its own occurrences; rows that
+    repeat an id, or have none, are then added up. Other columns don't matter.
     """
-    spark = docs.sparkSession
-    counts = word_counts(docs, text=text)
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    held = None
-    if limit is not None:
-        known = vocabulary(counts, limit)
-        rows = known.collect()  # at most ``limit`` rows
-        held = np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
-        rest = max(total - sum(r["c"] for r in rows), 1)
-        counts = known.unionByName(spark.createDataFrame([(UNKNOWN, rest)], "h bigint, c bigint"))
-    step_down, log_total = math.log(backoff), math.log(max(total, 1))
-
-    def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each word: its text, what stands before it, itself; and the number of words of each text."""
-        found, offsets = word_hashes(texts)
-        before = np.empty_like(found)
-        before[1:] = found[:-1]
-        if held is not None:
-            inside = held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found if len(held) else np.zeros(len(found), bool)
-            found = np.where(inside, found, np.uint64(UNKNOWN))
-            both = inside.copy()
-            both[1:] &= inside[:-1]
-            before[~both] = ALONE
-        starts = offsets[:-1]
-        before[starts[starts < offsets[1:]]] = START
-        sizes = np.diff(offsets)
-        return np.repeat(np.arange(len(sizes)), sizes), before, found, sizes
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences of each bigram in a batch, and whether one text (1) or several (2) have it."""
-        for batch in slices(batches, "text"):
-            owner, before, after, _ = pairs(batch.column("text"))
-            code = _code(before, after)
-            order = np.argsort(code)
-            code = code[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(len(code), 1), bool), code[1:] != code[:-1]]))
-            if not len(first):
-                continue
-            owner = owner[order]
-            several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(code[first].view(np.int64)), pa.array(before[order[first]].view(np.int64)),
-                pa.array(np.diff(np.append(first, len(code)))), pa.array(1 + several.astype(np.int64))], names=["code", "v", "n", "d"])
-
-    def explode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each bigram of a document, and one without words for a document that has none."""
-        for batch in slices(batches, "text"):
-            owner, before, after, sizes = pairs(batch.column("text"))
-            code = _code(before, after)
-            order = np.lexsort((code, owner))
-            who, what = owner[order], code[order]
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(who)))
-            none = np.flatnonzero(sizes == 0)
-            spread = mix(none.astype(np.uint64) + np.uint64(1))  # codes without meaning, so that empty texts don't meet in one task
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(np.concatenate([who[first], none]))),
-                pa.array(np.concatenate([what[first], spread]).view(np.int64)),
-                pa.array(np.concatenate([n, np.zeros(len(none), np.int64)]))], names=["doc_id", "code", "n"])
-
-    source = docs.select("doc_id", F.col(text).alias("text"))
-    bigrams = source.mapInArrow(count_pairs, "code bigint, v bigint, n bigint, d bigint").groupBy("code").agg(
-        F.min("v").alias("v"), F.sum("n").alias("c"), F.sum("d").alias("d"))  # v follows from the code
-    shared = (F.col("d") > 1) & ~F.col("v").isin(START, ALONE)
-    asked = bigrams.select("code", F.when(shared, F.col("c")).alias("c"), (F.col("v") == START).alias("first"),
-                           F.when(shared, F.col("v")).otherwise(_second(F.col("code"), F.col("v"))).alias("h"))
-    unit = F.when(F.col("c").isNotNull(), -F.log("of")).otherwise(
-        F.log("of") - log_total + F.when(F.col("first"), 0.0).otherwise(step_down))
-    table = asked.join(counts.withColumnRenamed("c", "of").hint("shuffle_hash"), "h").select("code", "c", unit.alias("unit"))
-    joined = source.mapInArrow(explode_pairs, "doc_id bigint, code bigint, n bigint").join(table, "code", "left")
-    seen = (F.col("c") > F.col("n")) & (F.col("n") > 0)
-    value = F.when(F.col("n") > 0, F.col("n") * (F.col("unit") + F.when(seen, F.log(F.col("c") - F.col("n"))).otherwise(0.0))).otherwise(0.0)
-    sums = joined.groupBy("doc_id").agg(
-        F.sum("n").alias("n_words"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("n_seen"), F.sum(value).alias("score"))
+    batches = token_batches(docs, id=id, text=text)
+    total = batches.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_WORDS))
+    kind = batches.schema["ids"].dataType.elementType.simpleString()
+    step_down = math.log(backoff)
+
+    def work(rows: pa.Table) -> pa.Table:
+        parts = sorted(zip(rows.column("part").to_pylist(), range(len(rows))))
+        batch = rows.slice(parts[0][1], 1).to_pylist()[0]  # part -1
+        answers: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order)]
+        for part, at in parts[1:]:
+            answers[part // buckets].append(unpacked(rows.column("totals")[at].as_py()))
+        owner, grams = _grams(batch["words"], batch["codes"], batch["sizes"], order)
+        n = unpacked(batch["sizes"]).astype(np.int64)
+        outside = np.maximum(total - n, 1) if leave_out else np.full(len(n), max(total, 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            every, own = _own(*grams[0], owner, np.concatenate(answers[0]), leave_out)
+            value = np.log(np.maximum(every - own, 1)) - np.log(outside)[owner]
+            seen = np.zeros(len(owner), bool)
+            context = (every - own).astype(float)
+            for k in range(1, order):
+                there = grams[k][1]
+                every, own = _own(*grams[k], owner, np.concatenate(answers[k]), leave_out)
+                others = (every - own).astype(float)
+                held = there & (others > 0)
+                ratio = np.log(others) - np.log(np.concatenate([[np.nan], context[:-1]]) if len(context) else context)
+                value = np.where(held, ratio, value + np.where(there, step_down, 0.0))
+                seen |= held
+                context = others
+        return pa.table({"id": rows.column("ids")[parts[0][1]].values, "n_words": pa.array(n),
+                         "n_seen": pa.array(np.bincount(owner, seen, minlength=len(n)).astype(np.int64)),
+                         "score": pa.array(np.bincount(owner, value, minlength=len(n)).astype(float))})
+
+    answers = _answered(_asked(batches, order, buckets))
+    empty = {"ids": f"array<{kind}>", "sizes": "binary", "words": "binary", "codes": "binary"}
+    both = batches.select("batch", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("totals"), *empty).unionByName(
+        answers.select("batch", "part", "totals", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()]))
+    scored = both.groupBy("batch").applyInArrow(work, f"id {kind}, n_words bigint, n_seen bigint, score double")
+    sums = scored.groupBy(F.col("id").alias(id)).agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("score").alias("score"))
     return sums.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

@@ -91,27 +91,26 @@ def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-# Words as in the operator; the vocabulary takes whole frequency classes while they fit.
+# Every count is without the document's own occurrences.
 OP1_SQL = """
 with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\\x20\\x09-\\x0D]+') as w from documents),
 p as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from t),
-u as (select w, count(*) as c, floor(ln(count(*)) * 90 + 1e-9) as k from p group by w),
-held as (select k, sum(count(*)) over (order by k desc) as held from u group by k),
-known as (select w, c from u where k in (select k from held where held <= 65536)),
-total as (select (select sum(c) from u) as n, (select sum(c) from u) - coalesce((select sum(c) from known), 0) as rest),
-q as (select p.doc_id, p.i, p.w, lag(p.w) over (partition by p.doc_id order by p.i) as v,
-             ln(greatest(coalesce(k.c, rest), 1)) - ln(n) as share, k.c is not null as is_known
-      from p left join known k on k.w = p.w, total),
-r as (select q.*, is_known and coalesce(lag(is_known) over (partition by doc_id order by i), false) as pair from q),
-own as (select doc_id, v, w, count(*) as n, min(share) as share from r where pair group by all),
-c2 as (select v, w, sum(n) as c from own group by all),
-s as (select doc_id, n, case when c2.c > n then n else 0 end as seen,
-             case when c2.c > n then n * (ln(c2.c - n) - ln(known.c)) else n * (ln(0.4) + share) end as s
-      from own join c2 using (v, w) join known on known.w = v
-      union all
-      select doc_id, 1, 0, share + case when i > 1 then ln(0.4) else 0 end from r where not pair),
-d as (select doc_id, sum(n) as n_words, sum(seen) as n_seen, sum(s) as score from s group by doc_id)
+q as (select *, lag(w) over (partition by doc_id order by i) as v from p),
+o1 as (select doc_id, w, count(*) as own from p group by all),
+c1 as (select w, sum(own) as c from o1 group by w),
+u1 as (select doc_id, w, c - own as c from o1 join c1 using (w)),
+o2 as (select doc_id, v, w, count(*) as own from q where v is not null group by all),
+c2 as (select v, w, sum(own) as c from o2 group by all),
+u2 as (select doc_id, v, w, c - own as c from o2 join c2 using (v, w)),
+n as (select doc_id, count(*) as n, sum(count(*)) over () as total from p group by doc_id),
+s as (select q.doc_id, coalesce(u2.c > 0, false) as seen,
+             case when u2.c > 0 then ln(u2.c) - ln(b.c)
+                  else ln(greatest(a.c, 1)) - ln(greatest(n.total - n.n, 1)) + case when q.v is null then 0 else ln(0.4) end end as s
+      from q join n using (doc_id) join u1 a on a.doc_id = q.doc_id and a.w = q.w
+      left join u1 b on b.doc_id = q.doc_id and b.w = q.v
+      left join u2 on u2.doc_id = q.doc_id and u2.v = q.v and u2.w = q.w),
+d as (select doc_id, count(*) as n_words, count(*) filter (where seen) as n_seen, sum(s) as score from s group by doc_id)
 select t.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_seen, 0)::bigint as n_seen,
        round(coalesce(score, 0), 4) as score, round(score / n_words, 6) as per_word
 from t left join d using (doc_id)

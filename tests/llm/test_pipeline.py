@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -47,22 +48,33 @@ def test_every_stage_equals_brute_force(spark):
 
 def test_extra_columns_null_ids_and_repeated_rows_survive(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = docs.limit(1).selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars")
-    docs = clashing(docs.unionByName(docs.limit(5)).unionByName(odd))
-    columns = docs.columns
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SF).select("doc_id").collect()}
+    rejected = min(r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] not in kept)
+    null = F.lit(None).cast("bigint")
+    # Two rows without id: a rejected text, and a kept one in another order of words, a copy of none.
+    bad = docs.where(F.col("doc_id") == rejected).withColumn("doc_id", null)
+    good = docs.where(F.col("doc_id") == max(kept)).withColumn("doc_id", null).withColumn(
+        "text", F.array_join(F.reverse(F.split("text", " ")), " "))
+    repeated = docs.where(F.col("doc_id").isin(sorted(kept)[:3]))
+    docs = clashing(docs.unionByName(repeated).unionByName(bad).unionByName(good))
+    columns, without = docs.columns, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF), "stage")
         assert docs.columns == columns
         assert docs.where("llr <> 'taken' or kept <> 'taken'").count() == 0
+        without.append(docs.where("doc_id is null").count())
+    assert without == [1, 1, 1, 1]  # the rejected one goes in the first stage
     ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and None in ids
+    assert len(ids) == len(set(ids))
+    packed = corpus_pipeline.exact_packing(spark, docs, SF)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(ids)
 
 
 def test_empty_table_and_registration(spark):
     import __spark_entry__
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[:3]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "stage")
         assert docs.count() == 0
     assert "pipeline" in __spark_entry__.queries() and corpus_pipeline.ORACLE_SQL is None
