@@ -252,40 +252,33 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 
 
 def _cut(length: int):
-    """(a, b, n_removed, n_spans, kept_sha256) of texts with runs of repeated starts."""
+    """(a, b, n_removed, n_spans, kept_sha256, removed) of texts with runs of repeated starts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
-            removed, spans, digests = [], [], []
+            removed, spans, digests, places = [], [], [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                body, at, gone, count, kept = text.encode(), 0, 0, 0, hashlib.sha256()
-                end = -1
-                for run in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs):
-                    if run[0] > end:
-                        if end >= 0:
-                            kept.update(body[at:run[0]])
-                        else:
-                            kept.update(body[:run[0]])
-                        count += 1
-                        gone += run[1] - run[0]
-                        end = run[1]
-                    elif run[1] > end:
-                        gone += run[1] - end
-                        end = run[1]
-                    at = end
-                kept.update(body[end:])
-                removed.append(gone)
-                spans.append(count)
+                body, merged, kept = text.encode(), [], hashlib.sha256()
+                for start, end in sorted((r["start"], r["start"] + r["n"] - 1 + length) for r in runs):
+                    if merged and start <= merged[-1][1]:
+                        merged[-1][1] = max(end, merged[-1][1])
+                    else:
+                        merged.append([start, end])
+                for (_, start), (end, _) in zip([[0, 0], *merged], [*merged, [len(body), 0]]):
+                    kept.update(body[start:end])
+                removed.append(sum(end - start for start, end in merged))
+                spans.append(len(merged))
                 digests.append(kept.hexdigest())
+                places.append(",".join(f"{start}:{end}" for start, end in merged))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(removed, pa.int64()),
-                                              pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-                                             names=["a", "b", "n_removed", "n_spans", "kept_sha256"])
+                                              pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(places, pa.string())],
+                                             names=["a", "b", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     return work
 
 
 def repeated_bytes(docs: DataFrame, *, text: str = "text", length: int = 400, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and removed (start:end of each run, ends exclusive) of every row.
 
     A byte is removed if it lies in ``length`` bytes that also start anywhere
     else, in the same text or another one. Null texts count as empty; texts
@@ -302,7 +295,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", length: int = 400, bu
     rows = docs.select("doc_id", own, F.xxhash64(body).alias("b"), F.sha2(body, 256).alias("digest"), body.alias("text"))
     facts = stored(rows.select("doc_id", "a", "b", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     groups = facts.groupBy("digest").agg(F.min("a").alias("lead"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = stored(facts.join(groups, "digest").select("a", "b", "lead"), "copies")
+    copies = stored(joined_small(facts, groups, ["digest"], most=200_000).select("a", "b", "lead"), "copies")
     extra = copies.where("a <> lead").select("a", "b").distinct()
     single = joined_small(rows.where(F.octet_length("text") >= length).select("a", "b", "text"), extra, ["a", "b"], "left_anti")
 
@@ -319,11 +312,13 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", length: int = 400, bu
     runs = stored(suffixes.groupBy("bucket").applyInArrow(_sort_bucket, "a bigint, b bigint, start bigint, n bigint"), "runs")
     whole = runs.groupBy("a", "b").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     cut = joined_small(single, runs.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    cut = cut.join(whole, ["a", "b"]).mapInArrow(_cut(length), "a bigint, b bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    cut = cut.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")])
+    cut = cut.join(whole, ["a", "b"]).mapInArrow(_cut(length), "a bigint, b bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed string")
+    cut = cut.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "removed")])
     twice = copies.select("a", "b").distinct().withColumn("_twice", F.lit(True))
     gone = F.col("_twice").isNotNull() & (F.col("n_bytes") >= length)
-    return (facts.join(twice, ["a", "b"], "left").join(cut, ["a", "b"], "left").select(
+    out = (facts.join(twice, ["a", "b"], "left").join(cut, ["a", "b"], "left").select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256")))
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        F.when(gone, F.concat(F.lit("0:"), F.col("n_bytes"))).otherwise(F.coalesce("removed", F.lit(""))).alias("removed")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "removed")

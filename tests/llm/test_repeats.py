@@ -20,7 +20,9 @@ def plain(texts, length):
             if b[k:k + length] in twice:
                 gone[k:k + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        yield len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).tolist()
+        yield (len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(), int((~gone).sum()),
+               ",".join(f"{x}:{y}" for x, y in zip(edges[::2], edges[1::2])))
 
 
 def check(docs, texts, length=400, **more):
@@ -73,3 +75,11 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = repeats.repeated_bytes(docs).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"] == r["n_bytes"] > 0) for r in rows) == [(0, False), (0, False), (1, False), (1, True), (1, True)]
     assert repeats.repeated_bytes(docs.limit(0)).count() == 0
+
+
+def test_one_passage_in_ten_thousand_texts(spark):
+    passage = prose(11, 110)
+    texts = [f"{prose(k, 3)} {passage} {prose(-k, 2)}" for k in range(10_000)]
+    assert len(passage) > 500
+    rows = repeats.repeated_bytes(documents(spark, texts).repartition(6), bucket_bytes=1 << 16).collect()
+    assert len(rows) == 10_000 and all(r["n_removed"] >= len(passage) and r["n_spans"] == 1 and r["n_kept"] < 60 for r in rows)
