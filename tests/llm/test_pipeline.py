@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cratewise.llm import pseudonyms
+from cratewise.llm import pseudonyms, quality
 from cratewise.llm.storage import stored
 from tests.llm.common import clashing, components, shingles, words
 
@@ -48,14 +48,15 @@ def test_every_stage_equals_brute_force(spark):
 
 def test_extra_columns_null_ids_and_repeated_rows_survive(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, SF).select("doc_id").collect()}
-    rejected = min(r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] not in kept)
+    judged = quality.judge_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    kept = [r["doc_id"] for r in sorted(judged, key=lambda r: (-(r["llr"] or 0), r["doc_id"])) if r["kept"] and r["n_words"] > 200]
+    rejected = min(r["doc_id"] for r in judged if r["base_failed"])
     null = F.lit(None).cast("bigint")
     # Two rows without id: a rejected text, and a kept one in another order of words, a copy of none.
     bad = docs.where(F.col("doc_id") == rejected).withColumn("doc_id", null)
-    good = docs.where(F.col("doc_id") == max(kept)).withColumn("doc_id", null).withColumn(
+    good = docs.where(F.col("doc_id") == kept[0]).withColumn("doc_id", null).withColumn(
         "text", F.array_join(F.reverse(F.split("text", " ")), " "))
-    repeated = docs.where(F.col("doc_id").isin(sorted(kept)[:3]))
+    repeated = docs.where(F.col("doc_id").isin(kept[:3]))
     docs = clashing(docs.unionByName(repeated).unionByName(bad).unionByName(good))
     columns, without = docs.columns, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
