@@ -40,14 +40,26 @@ def fold_range(value: Column, low: float, high: float) -> Column:
         return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), n - half)
 
     def corrected(n: Column, fits) -> Column:
-        n = F.greatest(F.lit(0), n).cast("int")
-        smaller = F.greatest(F.lit(0), n - 1)
-        return F.when(fits(smaller), smaller).when(fits(n), n).otherwise(n + 1)
-
-    ups = corrected(F.ceil(log2(F.lit(low)) - log2(value)), lambda n: scaled(value, n) >= F.lit(low))
-    lifted = scaled(value, ups)
-    downs = corrected(F.ceil(log2(lifted) - log2(F.lit(high))), lambda n: scaled(lifted, -n) <= F.lit(high))
-    return F.when((value > 0) & (value < float("inf")), scaled(lifted, -downs)).otherwise(value)
+        def tested(n: Column) -> Column:
+            return F.when((n > 0) & fits(n - 1), n - 1).when(fits(n), n).otherwise(n + 1)
+        return bound(F.greatest(F.lit(0), n).cast("int"), tested)
+
+    def lowered(x: Column) -> Column:
+        downs = corrected(F.ceil(log2(x) - log2(F.lit(high))), lambda n: scaled(x, -n) <= F.lit(high))
+        return bound(downs, lambda n: scaled(x, -n))
+
+    def folded(x: Column) -> Column:
+        ups = corrected(F.ceil(log2(F.lit(low)) - log2(x)), lambda n: scaled(x, n) >= F.lit(low))
+        fits = F.when((x >= low) & (x <= high), x)  # most values need no step
+        lifted = bound(ups, lambda n: scaled(x, n))
+        return fits.when((x > 0) & (x < float("inf")), bound(lifted, lowered)).otherwise(x)
+
+    return bound(value, folded)
+
+
+def bound(col: Column, use) -> Column:
+    """``use(x)`` with x the value of ``col``, computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:

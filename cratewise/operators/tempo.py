@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cratewise.functions.numbers import clamp01, fold_range, log2
+from cratewise.functions.numbers import clamp01, fold_range, log2, settle
 from cratewise.operators.pcm import padded_chunks
 
 # What counts as the same pulse at another level.
@@ -80,8 +80,8 @@ def tempogram(envelope: DataFrame, frame_rate: float, options: TempoOptions = Te
 def estimate_tempo(gram: DataFrame, options: TempoOptions = TempoOptions()) -> DataFrame:
     """BPM, raw BPM, confidences and up to four alternates per track."""
     s = gram.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("lag", "bpm", "score"))).alias("g"))
-    s = s.withColumn("peak", F.aggregate("g", F.lit(0.0), lambda a, x: F.greatest(a, x["score"])))
-    s = s.withColumn("at", F.get(F.filter(F.transform("g", lambda x, i: F.when(x["score"] == F.col("peak"), i)),
+    s = settle(s, peak=F.aggregate("g", F.lit(0.0), lambda a, x: F.greatest(a, x["score"])))
+    s = settle(s, at=F.get(F.filter(F.transform("g", lambda x, i: F.when(x["score"] == F.col("peak"), i)),
                                           lambda i: i.isNotNull()), F.lit(0)))
     n, at = F.size("g"), F.col("at")
 
@@ -105,8 +105,8 @@ def estimate_tempo(gram: DataFrame, options: TempoOptions = TempoOptions()) -> D
     distinct = F.aggregate(ranked, F.array().cast(kind), lambda acc, x: F.when(
         (F.size(acc) < 4) & ~F.exists(acc, lambda d: F.abs(d["bpm"] - x["bpm"]) < 1.5), F.array_append(acc, x)).otherwise(acc))
     found = F.col("peak") > 0
-    out = s.withColumn("raw_bpm", F.when(found, refined).otherwise(options.prior_bpm)).withColumn(
-        "alternates", F.when(found, distinct).otherwise(F.array().cast(kind)))
+    out = settle(s, raw_bpm=F.when(found, refined).otherwise(options.prior_bpm),
+                 alternates=F.when(found, distinct).otherwise(F.array().cast(kind)))
     raw = F.col("raw_bpm")
 
     def related(x: Column) -> Column:
