@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cratewise.functions import keys as ks
 from cratewise.functions.numbers import half_up, log2, round6
+from cratewise.operators import bounded_top
 from cratewise.operators.edits import effective_bpm, effective_grid, effective_key
 from cratewise.operators.ordered import with_position
 from cratewise.session import cut_lineage
@@ -175,8 +178,33 @@ def _keys_and_scores() -> Column:
     return F.array(*[rows(s, f, listed.get((s, f), OTHER_KEY)) for f in (0, 1) for s in range(12)])
 
 
-# Candidates of one cell that a source meets in one task; larger cells are split.
+# Cells of more candidates are dense: they are read by bounds, in parts of so many candidates and sources.
 CELL_ROWS = 4096
+DENSE_CANDIDATES = 1 << 18
+DENSE_SOURCES = 1 << 14
+
+
+def _dense_pairs(k: int, artist_penalty: float, columns: list[str]):
+    """The pairs of one part of a dense cell that can be among the best ``k`` of a source."""
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({c: (left if c in left.column_names else right).column(c).slice(0, 0) for c in columns})
+
+        def numbers(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).to_numpy().astype(float)
+
+        artists = pa.concat_arrays([left.column("artist").combine_chunks(), right.column("c_artist").combine_chunks()]).dictionary_encode().indices
+        codes = artists.fill_null(-1).to_numpy().astype(np.int64)
+        cell = bounded_top.Cell({
+            "log": np.log2(numbers(right, "c_bpm")), "energy": numbers(right, "c_energy"), "vocal": numbers(right, "c_vocal"),
+            "section": numbers(right, "c_section_score"), "recent": numbers(right, "c_recent"), "artist": codes[len(left):],
+            "name": right.column("c_name_pos").to_numpy().astype(np.int64)})
+        asked = {"log": numbers(left, "_log"), "energy": numbers(left, "energy"), "vocal": numbers(left, "vocal"), "artist": codes[:len(left)],
+                 "h": numbers(left, "h"), "floor": numbers(left, "floor")}
+        rows, cols, _ = bounded_top.best_pairs(asked, cell, k, WEIGHTS, TEMPO_TOLERANCE, artist_penalty, RECENT_PENALTY)
+        left, right = left.take(pa.array(rows)), right.take(pa.array(cols))
+        return pa.table({c: (left if c in left.column_names else right).column(c) for c in columns})
+    return work
 
 
 def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_PENALTY) -> DataFrame:
@@ -195,14 +223,16 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
     3. *Probe.* From the floor follows, per target key, how far in tempo a
        candidate may be and still reach the floor. A source emits just those
        cells and equi-joins them; where even a tempo score of zero would do, it
-       joins on the key alone. No candidate that could rank is skipped. Cells
-       and keys are split by their measured sizes, so one that holds most of
-       the library is spread over many tasks.
+       joins on the key alone. No candidate that could rank is skipped. In
+       cells and keys of more than ``CELL_ROWS`` candidates, by their measured
+       sizes, pairs are not joined: ``bounded_top`` reads candidates in the
+       order of their bounds, in parts spread over many tasks.
     4. The pairs are scored and cut to ``k + 1`` per source signature (the row
        limit is applied before the shuffle), then a track is taken out of its
        own list.
 
-    Work is quadratic only inside a cell of distinct, nearly equal tracks.
+    A source scores at most ``CELL_ROWS`` candidates of a cell, and in a dense
+    cell those that its own bounds leave.
     """
     # Name order as a number: one distributed sort instead of collated string
     # comparisons in every later step.
@@ -265,7 +295,7 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
         mid = F.col("_log") + shift
         return F.sequence(F.floor((mid - span) * width), F.floor((mid + span) * width))
 
-    s_all = ["sid", "floor", *_SIGNATURE]
+    s_all = ["sid", "floor", "h", "_log", *_SIGNATURE]
     tight = (probes.where((F.col("_need") > 0) & (F.col("_need") <= 1))
              .select(*s_all, *to_cols, F.explode(F.concat(*[cells_around(r) for r in (-1, 0, 1)])).alias("_cell")))
     loose = probes.where(F.col("_need") <= 0).select(*s_all, *to_cols)
@@ -273,19 +303,33 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
                           *[F.col(c).alias(f"c_{c}") for c in c_cols])
 
     def met(probing: DataFrame, keys: list[str]) -> DataFrame:
-        """Equi-join on ``keys``; the holders of a key are split by their number, and a source visits every part."""
-        parts = targets.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_parts"))
-        few = parts.limit(100_001).count() <= 100_000
-        parts = F.broadcast(parts) if few else parts
-        split = targets.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64("c_id"), F.col("_parts")).cast("int"))
-        asking = probing.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        """Candidate pairs on equal ``keys``: all pairs where few targets hold a key, the best by bounds elsewhere."""
+        dense = cut_lineage(targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held")).where(F.col("_held") > CELL_ROWS))
         # The join multiplies rows, so its partition count is fixed by the work.
-        return (asking.drop("_parts").repartition(tasks, *keys, "_part")
-                .join(split.drop("_parts"), [*keys, "_part"]).drop("_part", "_cell"))
+        columns = ["sid", "floor", *_SIGNATURE, *[f"c_{c}" for c in c_cols]]
+        if dense.isEmpty():
+            return probing.repartition(tasks, *keys).join(targets, keys).select(*columns)
+        few = dense.limit(100_001).count() <= 100_000
+        held = F.broadcast(dense) if few else dense
+        sparse = (probing.join(held, keys, "left_anti").repartition(tasks, *keys)
+                  .join(targets.join(held, keys, "left_anti"), keys).select(*columns))
+        asked = probing.join(held, keys).groupBy(*keys, "_held").agg(F.count(F.lit(1)).alias("_ask"))
+        blocks = cut_lineage(asked.select(*keys, F.ceil(F.col("_held") / DENSE_CANDIDATES).cast("int").alias("_parts"),
+                                          F.ceil(F.col("_ask") / DENSE_SOURCES).cast("int").alias("_blocks")))
+        blocks = F.broadcast(blocks) if few else blocks
+        asking = (probing.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
+                  .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))))
+        offered = (targets.join(blocks, keys).withColumn("_part", F.pmod(F.xxhash64("c_id"), F.col("_parts")).cast("int"))
+                   .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))
+        by = [*keys, "_part", "_block"]
+        return sparse.unionByName(asking.select(*by, "sid", "floor", "h", "_log", *_SIGNATURE).groupBy(*by).cogroup(
+            offered.select(*by, *[f"c_{c}" for c in c_cols]).groupBy(*by)).applyInArrow(
+                _dense_pairs(k + 1, artist_penalty, columns), ", ".join(
+                    f"{c} {(sources if c in sources.columns else targets).schema[c].dataType.simpleString()}" for c in columns)))
 
     near_pairs = met(tight, [*to_cols, "_cell"])
     far_pairs = met(loose, to_cols)
-    pairs = near_pairs.unionByName(far_pairs).drop(*to_cols)
+    pairs = near_pairs.unionByName(far_pairs)
 
     # 4. score, drop what is under the floor, cut
     scored = _scored(pairs, F.col, lambda c: F.col(f"c_{c}"), artist_penalty)
