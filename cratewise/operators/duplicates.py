@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cratewise.functions.frames import bin_product, pitch_class_matrix
+from cratewise.operators.linked import greedy_groups
 from cratewise.operators.ordered import with_halo, with_position
 from cratewise.schemas import CUE, FrameGeometry
 from cratewise.session import cut_lineage
@@ -17,7 +20,9 @@ from cratewise.session import cut_lineage
 THRESHOLD = 0.75
 MIN_OVERLAP = 40
 BITS_PER_WORD = 24
-GRID_BLOCK = 48
+TILE = 48  # prints compared at once
+PAIRS = 64  # listed pairs compared at once
+BLOCK_PRINTS = 1024  # of about 8 kB, in a task twice
 
 
 def _shared(files: DataFrame, key: str, level: str) -> DataFrame:
@@ -89,48 +94,39 @@ def pack_fingerprints(words: DataFrame) -> DataFrame:
     return packed.select("track_id", F.transform("w", lambda x: x["word"]).alias("words"))
 
 
-def best_agreement(a: np.ndarray, b: np.ndarray, max_offset: int) -> float:
-    """Best share of equal bits over even offsets; short overlaps score nothing."""
-    best = 0.0
-    for offset in range(-max_offset, max_offset + 1, 2):
-        lo, hi = max(0, offset), min(len(a), len(b) + offset)
-        if hi - lo < MIN_OVERLAP:
-            continue
-        differing = int(np.bitwise_count(a[lo:hi] ^ b[lo - offset:hi - offset]).sum())
-        best = max(best, 1 - differing / ((hi - lo) * BITS_PER_WORD))
-    return best
-
-
 def fingerprint_similarity(pairs: DataFrame, a: str = "a_words", b: str = "b_words",
                            max_offset: int = 200) -> DataFrame:
-    """Adds ``score`` to rows that carry two word arrays."""
+    """Adds ``score``, the best share of equal bits over even offsets, to rows that carry two word arrays.
+
+    Overlaps of fewer than ``MIN_OVERLAP`` words score nothing.
+    """
     @pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([best_agreement(np.asarray(x, np.uint32), np.asarray(y, np.uint32), max_offset)
-                          for x, y in zip(left, right)])
+        out = np.zeros(len(left))
+        for at in range(0, len(left), PAIRS):
+            words = [[np.asarray(x, np.uint32) for x in side.iloc[at:at + PAIRS]] for side in (left, right)]
+            out[at:at + PAIRS] = _pair_scores(words[0], words[1], max_offset)
+        return pd.Series(out)
     return pairs.withColumn("score", score(F.col(a), F.col(b)))
 
 
-def _block_scores(left: list[np.ndarray], right: list[np.ndarray], max_offset: int) -> np.ndarray:
-    """Best agreement of every left/right pair of two blocks.
-
-    Bits are +-1 signals, so the cross-correlation summed over the 24 bits
-    counts equal minus unequal bits at every offset at once.
-    """
-    size = 1 << int(max(map(len, left)) + max(map(len, right)) - 1).bit_length()
+def _spectrum(block: list[np.ndarray], size: int) -> np.ndarray:
+    """Bits as +-1 signals: the transform of each print and bit."""
     shifts = np.arange(BITS_PER_WORD, dtype=np.uint32)
+    signs = np.zeros((len(block), BITS_PER_WORD, size), np.float32)
+    for n, words in enumerate(block):
+        signs[n, :, :len(words)] = ((words[None, :] >> shifts[:, None]) & 1) * 2.0 - 1.0
+    return np.fft.rfft(signs, axis=2).astype(np.complex64)
+
+
+def _common_size(left: list[np.ndarray], right: list[np.ndarray]) -> int:
+    return 1 << int(max(1, max(map(len, left)) + max(map(len, right)) - 1)).bit_length()
 
-    def spectrum(block: list[np.ndarray]) -> np.ndarray:
-        signs = np.zeros((len(block), BITS_PER_WORD, size), np.float32)
-        for n, words in enumerate(block):
-            signs[n, :, :len(words)] = ((words[None, :] >> shifts[:, None]) & 1) * 2.0 - 1.0
-        return np.fft.rfft(signs, axis=2).astype(np.complex64).transpose(2, 0, 1)
-
-    product = np.matmul(spectrum(left), spectrum(right).conj().transpose(0, 2, 1))
-    correlation = np.fft.irfft(product, n=size, axis=0)
-    n_left = np.array([len(w) for w in left])[:, None]
-    n_right = np.array([len(w) for w in right])[None, :]
-    best = np.zeros((len(left), len(right)))
+
+def _best_over_offsets(correlation: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, max_offset: int) -> np.ndarray:
+    """The cross-correlation, summed over bits, counts equal minus unequal bits at every offset (first axis)."""
+    size = len(correlation)
+    best = np.zeros(correlation.shape[1:])
     for offset in range(-max_offset, max_offset + 1, 2):
         if abs(offset) >= size:
             continue
@@ -142,68 +138,64 @@ def _block_scores(left: list[np.ndarray], right: list[np.ndarray], max_offset: i
     return best
 
 
+def _pair_scores(left: list[np.ndarray], right: list[np.ndarray], max_offset: int) -> np.ndarray:
+    """Best agreement of the first with the first, the second with the second, and so on."""
+    size = _common_size(left, right)
+    product = (_spectrum(left, size) * _spectrum(right, size).conj()).sum(axis=1).T
+    return _best_over_offsets(np.fft.irfft(product, n=size, axis=0), np.array([len(w) for w in left]),
+                              np.array([len(w) for w in right]), max_offset)
+
+
+def _block_scores(left: list[np.ndarray], right: list[np.ndarray], max_offset: int) -> np.ndarray:
+    """Best agreement of every left/right pair of two blocks."""
+    size = _common_size(left, right)
+    product = np.matmul(_spectrum(left, size).transpose(2, 0, 1), _spectrum(right, size).conj().transpose(2, 1, 0))
+    return _best_over_offsets(np.fft.irfft(product, n=size, axis=0), np.array([len(w) for w in left])[:, None],
+                              np.array([len(w) for w in right])[None, :], max_offset)
+
+
 def similar_edges(prints: DataFrame, threshold: float = THRESHOLD, max_offset: int = 200,
-                  block: int = GRID_BLOCK) -> DataFrame:
+                  block: int | None = None, tile: int = TILE) -> DataFrame:
     """All pairs (i, j, score), i < j, of distinct fingerprints at or over the threshold.
 
     ``prints(id, words)``. At the default threshold a quarter of all bits may
     differ, so no index over words can promise to find every pair; the exact way
-    is a triangular grid of blocks. Each cell compares two blocks of bounded
-    size in one task and emits only pairs over the threshold. The work is
-    quadratic in *distinct* fingerprints and evenly spread.
+    is a triangular grid of blocks. A cell's two blocks are compared tile by
+    tile in one task, and only pairs over the threshold leave it. A print is
+    sent to as many cells as there are blocks, so blocks are as large as leaves
+    every task a cell, up to ``BLOCK_PRINTS``. The work is quadratic in
+    *distinct* fingerprints and evenly spread.
     """
     n = prints.count()
+    if block is None:
+        tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        block = min(BLOCK_PRINTS, max(tile, math.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
     blocks = max(1, math.ceil(n / block))
     cell = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(
         F.least(x, F.col("_b")).alias("_i"), F.greatest(x, F.col("_b")).alias("_j")))
     placed = (prints.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
               .select("id", "words", "_b", F.inline(cell)))
+    kind = prints.schema["id"].dataType.simpleString()
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        sides = [pdf[pdf["_b"] == x].sort_values("id") for x in (i, j)]
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py()
+        rows = rows.sort_by("id")
+        sides = [rows.filter(pc.equal(rows.column("_b"), x)) for x in (i, j)]
+        ids = [s.column("id").to_pylist() for s in sides]
+        words = [[np.asarray(w, np.uint32) for w in s.column("words").to_pylist()] for s in sides]
         out = []
-        for a in range(0, len(sides[0]), block):
-            for b in range(0, len(sides[1]), block):
-                left, right = sides[0].iloc[a:a + block], sides[1].iloc[b:b + block]
-                words = [[np.asarray(w, np.uint32) for w in s["words"]] for s in (left, right)]
-                scores = _block_scores(words[0], words[1], max_offset)
+        for a in range(0, len(ids[0]), tile):
+            for b in range(a if i == j else 0, len(ids[1]), tile):
+                scores = _block_scores(words[0][a:a + tile], words[1][b:b + tile], max_offset)
                 for p, q in zip(*np.nonzero(scores >= threshold)):
-                    x, y = left["id"].iloc[p], right["id"].iloc[q]
-                    if x != y and (i != j or x < y):
+                    x, y = ids[0][a + p], ids[1][b + q]
+                    if i != j or x < y:
                         # the score does not depend on the side
                         out.append((min(x, y), max(x, y), float(scores[p, q])))
-        return pd.DataFrame(out, columns=["i", "j", "score"])
-
-    kind = prints.schema["id"].dataType.simpleString()
-    return placed.groupBy("_i", "_j").applyInPandas(compare, f"i {kind}, j {kind}, score double")
+        return pa.table({"i": pa.array([e[0] for e in out], rows.schema.field("id").type), "j": pa.array([e[1] for e in out], rows.schema.field("id").type),
+                         "score": pa.array([e[2] for e in out], pa.float64())})
 
-
-def greedy_groups(edges: DataFrame) -> DataFrame:
-    """(seed, member, score): what a first-come seeding in id order would group.
-
-    The first unclaimed id seeds a group and claims all later unclaimed
-    neighbours. Seeds are the lexicographically first maximal independent set:
-    in each round every undecided id without an undecided smaller neighbour
-    seeds, its neighbours are claimed, and the rest goes on. Members are
-    assigned at the end, to their smallest neighbouring seed.
-    """
-    edges = cut_lineage(edges)
-    left = edges.select("i", "j")
-    claimed = None
-    while not left.isEmpty():
-        seeds = left.select("i").distinct().join(left.select(F.col("j").alias("i")), "i", "left_anti")
-        now = left.join(seeds, "i", "left_semi").select("j").distinct()
-        decided = seeds.unionByName(now.withColumnRenamed("j", "i"))
-        claimed = cut_lineage(now if claimed is None else claimed.unionByName(now))
-        left = cut_lineage(left.join(decided, "i", "left_anti")
-                           .join(decided.withColumnRenamed("i", "j"), "j", "left_anti"))
-    if claimed is None:
-        return edges.select(F.col("i").alias("seed"), F.col("j").alias("member"), "score")
-    open_edges = edges.join(claimed.withColumnRenamed("j", "i"), "i", "left_anti")
-    return (open_edges.groupBy(F.col("j").alias("member"))
-            .agg(F.min(F.struct("i", "score")).alias("s"))
-            .select(F.col("s.i").alias("seed"), "member", F.col("s.score").alias("score")))
+    return placed.groupBy("_i", "_j").applyInArrow(compare, f"i {kind}, j {kind}, score double")
 
 
 def dup_similar_groups(prints: DataFrame, threshold: float = THRESHOLD, max_offset: int = 200) -> DataFrame:

@@ -180,3 +180,18 @@ UNION ALL SELECT 'similar-audio', seed, seed, 1::DOUBLE FROM (SELECT DISTINCT se
 def dup_similar_groups(spark, sf):
     g = du.dup_similar_groups(prints(spark, sf), NOISE_THRESHOLD)
     return g.withColumn("confidence", round6(F.col("confidence")))
+
+
+_REST = "SELECT id FROM u WHERE audio_hash NOT IN (SELECT audio_hash FROM sa)"
+_LEFT_GROUPS = (_GROUPS.replace(f"WHERE score >= {NOISE_THRESHOLD}", f"WHERE score >= {NOISE_THRESHOLD} AND i IN ({_REST}) AND j IN ({_REST})")
+                .replace("FROM lens)", f"FROM lens WHERE track_id IN ({_REST}))"))
+
+
+@query("find_duplicate_groups", oracle("files_dup cells", f"""WITH {_EXACT}, {_WORDS}, {_SCORES}, {_LEFT_GROUPS}
+SELECT * FROM e UNION ALL SELECT * FROM s
+UNION ALL SELECT 'similar-audio', seed::VARCHAR, member, {sql6('score')} FROM members
+UNION ALL SELECT 'similar-audio', seed::VARCHAR, seed, 1::DOUBLE FROM (SELECT DISTINCT seed FROM members)""", recursive=True))
+def find_duplicate_groups(spark, sf):
+    """All three levels at once: exact files, same audio, and similar fingerprints of files that neither level has."""
+    g = du.find_duplicate_groups(files(spark, sf), prints(spark, sf), NOISE_THRESHOLD)
+    return g.withColumn("confidence", round6(F.col("confidence")))

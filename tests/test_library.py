@@ -32,13 +32,24 @@ def test_greedy_groups_equal_the_sequential_rule(spark, seed):
     assert {tuple(r) for r in got.select("seed", "member", "score").collect()} == want
 
 
+def best_agreement(a, b, max_offset):
+    """The best share of equal bits, offset by offset."""
+    best = 0.0
+    for offset in range(-max_offset, max_offset + 1, 2):
+        lo, hi = max(0, offset), min(len(a), len(b) + offset)
+        if hi - lo >= du.MIN_OVERLAP:
+            differing = int(np.bitwise_count(a[lo:hi] ^ b[lo - offset:hi - offset]).sum())
+            best = max(best, 1 - differing / ((hi - lo) * du.BITS_PER_WORD))
+    return best
+
+
 def test_similar_edges_equal_pairwise_comparison(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 24, 150, dtype=np.uint32)
     prints = {0: base, 1: base[10:], 2: base ^ (rng.random(150) < 0.3).astype(np.uint32) * 0x0F0F0F,
               3: rng.integers(0, 1 << 24, 120, dtype=np.uint32), 4: base[:39], 5: np.concatenate([np.zeros(20, np.uint32), base])}
     df = spark.createDataFrame([(k, w.astype(int).tolist()) for k, w in prints.items()], "id bigint, words array<int>")
-    want = {(a, b): du.best_agreement(prints[a], prints[b], 200) for a, b in itertools.combinations(prints, 2)}
+    want = {(a, b): best_agreement(prints[a], prints[b], 200) for a, b in itertools.combinations(prints, 2)}
     want = {k: s for k, s in want.items() if s >= 0.6}
     for block in (2, 48):
         got = {(r["i"], r["j"]): r["score"] for r in du.similar_edges(df, 0.6, block=block).collect()}
