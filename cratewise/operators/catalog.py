@@ -75,12 +75,11 @@ def search_token_prefix(keys: DataFrame, text: str) -> DataFrame:
     most selective word. ``exists`` over the token array is a row-local test, so
     no candidate list is shuffled.
     """
-    needle = text.strip().lower()
-    words = list(dict.fromkeys(w for w in "".join(
-        c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in needle).split()))
-    if not words:
+    from cratewise.operators.search_index import search_prefix
+
+    prefix = search_prefix(text)
+    if not prefix:
         return search_contains(keys, text)
-    prefix = " ".join(words[:2]) if len(words) > 1 else words[0]
     return search_contains(keys.where(F.exists("tokens", lambda t: t.startswith(prefix))), text)
 
 

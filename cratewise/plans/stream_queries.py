@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from cratewise.operators import catalog as cat
+from cratewise.operators import catalog as cat, search_index as si
 from cratewise.plans import views as v
 from cratewise.plans.catalog_queries import _KEYS
 from cratewise.plans.registry import Book
 from cratewise.plans.views import oracle
 from cratewise.sources.folders import scratch_folder
-from cratewise.streaming import jobs as jb, projection as pj, replay as rp
+from cratewise.streaming import jobs as jb, projection as pj, replay as rp, snapshots as sn
 
 BOOK = Book()
 query = BOOK.query
@@ -116,3 +116,34 @@ def backfill_projection(spark, sf):
     folder = scratch_folder(spark, "backfill")
     pj.backfill(spark, stream, folder, "v3", cat.catalog_keys)
     return rp.read_batches(spark, f"{folder}/version=v3").drop("tokens", "batch_id")
+
+
+@query("backfill_upsert", oracle("eff", f"""WITH {_KEYS} SELECT id, CASE WHEN id % 7 = 0 THEN upper(name) ELSE name END AS name, bpm,
+  CASE WHEN id % 7 = 0 THEN 2 WHEN id % 7 = 1 THEN 1 ELSE 0 END::BIGINT AS seq FROM keys WHERE id % 7 <> 1
+  UNION ALL SELECT id, 'early ' || name, bpm, 1::BIGINT FROM keys WHERE id % 7 = 1"""))
+def backfill_upsert(spark, sf):
+    """A backfill in three batches; some tracks are edited before it comes to them, others between its batches."""
+    rows = cat.catalog_keys(v.tracks(spark, sf)).select("id", "name", "bpm", F.lit(0).cast("bigint").alias("seq"))
+    folder = scratch_folder(spark, "backfill-upsert")
+    place = f"{folder}/version=v1"
+    sn.upsert(rows.where("id % 7 = 1").withColumns({"name": F.concat(F.lit("early "), "name"), "seq": F.lit(1).cast("bigint")}), place, "early")
+    edited = rows.where("id % 7 = 0").withColumns({"name": F.upper("name"), "seq": F.lit(2).cast("bigint")})
+
+    def project(batch):
+        if len(sn.versions(spark, place)) == 2:  # after the first batch
+            sn.upsert(edited, place, "between")
+        return batch
+
+    sn.backfill(rp.file_stream(spark, rows, "id"), folder, "v1", project)
+    return sn.snapshot(spark, place).select("id", "name", "bpm", "seq")
+
+
+@query("search_stored_index", oracle("eff", f"""WITH {_KEYS} SELECT 'red wid' AS text, id, name, search FROM keys
+  WHERE contains(search, 'red wid') AND regexp_matches(search, '(^|[^a-z0-9])red[^a-z0-9]+wid')
+  UNION ALL SELECT 'blu', id, name, search FROM keys WHERE contains(search, 'blu') AND regexp_matches(search, '(^|[^a-z0-9])blu')"""))
+def search_stored_index(spark, sf):
+    """Two searches over an index of the whole catalogue, written first."""
+    folder = scratch_folder(spark, "search-index")
+    si.write_search_index(cat.catalog_keys(v.tracks(spark, sf)), folder)
+    found = [si.search_index(spark, folder, text).select(F.lit(text).alias("text"), "id", "name", "search") for text in ("red wid", "blu")]
+    return found[0].unionByName(found[1])
