@@ -67,21 +67,35 @@ def written_collection(spark, sf):
     return folder
 
 
-@query("collection_round_trip", oracle("eff", f"""WITH {_XML} SELECT track_id, coalesce(title, name) AS name, coalesce(artist, '') AS artist,
+_ROUND_TRIP = f"""WITH {_XML} SELECT track_id, coalesce(title, name) AS name, coalesce(artist, '') AS artist,
   coalesce(floor(bpm * 100 + 0.5) / 100, 0) AS average_bpm,
   CASE WHEN eff_tonic IS NULL OR eff_mode IS NULL THEN '' ELSE (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[eff_tonic + 1] || CASE WHEN eff_mode = 'minor' THEN 'm' ELSE '' END END AS tonality,
   'file://localhost/Music%20%26%20more/' || replace(replace(relative_path, '#', '%23'), ' ', '%20') AS location,
   CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN printf('%.3f', floor(first_downbeat * 1000 + 0.5) / 1000) || ' ' || printf('%.2f', bpm) || ' 4/4 1' ELSE '' END AS tempos,
   array_to_string(list_concat(CASE WHEN analysed OR manual_grid_bpm IS NOT NULL THEN ['Downbeat@' || printf('%.3f', floor(first_downbeat * 1000 + 0.5) / 1000)] ELSE [] END,
-     CASE WHEN has_cues THEN ['In@' || printf('%.3f', cue_a), 'Out@' || printf('%.3f', cue_b)] ELSE [] END), ',') AS marks FROM x"""))
-def collection_round_trip(spark, sf):
-    back = co.read_collection_xml(spark, written_collection(spark, sf))
+     CASE WHEN has_cues THEN ['In@' || printf('%.3f', cue_a), 'Out@' || printf('%.3f', cue_b)] ELSE [] END), ',') AS marks FROM x"""
+
+
+def text_of(back):
     return back.select("track_id", "name", "artist", "average_bpm", "tonality", "location",
                        F.array_join(F.transform("tempos", lambda t: F.concat_ws(" ", F.format_string("%.3f", t["inizio"]), F.format_string("%.2f", t["bpm"]),
                                                                                t["metro"], t["battito"].cast("string"))), ",").alias("tempos"),
                        F.array_join(F.transform("marks", lambda m: F.concat_ws("@", m["name"], F.format_string("%.3f", m["start"]))), ",").alias("marks"))
 
 
+@query("collection_round_trip", oracle("eff", _ROUND_TRIP))
+def collection_round_trip(spark, sf):
+    return text_of(co.read_collection_xml(spark, written_collection(spark, sf)))
+
+
+@query("collection_document", oracle("eff", _ROUND_TRIP))
+def collection_document(spark, sf):
+    """The same out of one document with its playlist."""
+    file = f"{fo.scratch_folder(spark, 'collection')}.xml"
+    co.write_collection_document(rows(spark, sf), file, "/Music & more", "Set <1>")
+    return text_of(co.read_collection_document(spark, file))
+
+
 @query("location_url", """SELECT conv_id, turn, 'file://localhost/C:/My%20Music/' || array_to_string(list_transform(string_split(text, '/'),
   lambda s: replace(replace(replace(replace(replace(replace(url_encode(s), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%3A', ':')), '/') AS url FROM conversations""")
 def location_url(spark, sf):

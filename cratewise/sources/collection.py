@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from xml.sax.saxutils import quoteattr
+
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cratewise.functions import keys as ks, text as tx
@@ -92,14 +96,86 @@ def write_collection_xml(rows: DataFrame, path: str, base_folder: str, playlist:
         F.lit(playlist).alias("_Name"), F.lit(1).alias("_Type"), F.lit(0).alias("_KeyType"), "_Entries"), "PLAYLISTS", "NODE", "node")
 
 
+def write_collection_document(rows: DataFrame, file: str, base_folder: str, playlist: str = "Export") -> None:
+    """Write the collection and its playlist as one XML document, ``file``.
+
+    Tasks write the elements as text parts in the order of the track numbers.
+    The commit puts head, parts and tail together: by the store's own
+    concatenation where it has one, else by one copy through a small buffer; no
+    part is held as a whole. The document appears under its name by a rename.
+    """
+    spark = rows.sparkSession
+    xml = collection_rows(rows, base_folder)
+    parts = f"{file}.parts-{uuid.uuid4().hex}"
+    ordered = xml.repartitionByRange("_TrackID").sortWithinPartitions("_TrackID")
+    ordered.select(F.to_xml(F.struct(*xml.columns), {"rowTag": "TRACK"})).write.text(f"{parts}/tracks")
+    n = rows.count()
+    keys = spark.range(1, n + 1).select(F.format_string('<TRACK Key="%d"/>', F.col("id")))
+    keys.write.text(f"{parts}/keys")
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<DJ_PLAYLISTS Version="1.0.0">\n<COLLECTION Entries="{n}">\n'
+    middle = (f'</COLLECTION>\n<PLAYLISTS>\n<NODE Type="0" Name="ROOT" Count="1">\n'
+              f'<NODE Name={quoteattr(playlist)} Type="1" KeyType="0" Entries="{n}">\n')
+    tail = "</NODE>\n</NODE>\n</PLAYLISTS>\n</DJ_PLAYLISTS>\n"
+    _join_files(spark, [head, f"{parts}/tracks", middle, f"{parts}/keys", tail], parts, file)
+
+
+def _join_files(spark: SparkSession, pieces: list[str], aside: str, file: str) -> None:
+    """Texts, and the part files of the folders below ``aside``, one after the other in ``file``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(file).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = []
+    for k, piece in enumerate(pieces):
+        if piece.startswith(aside):
+            names = [s.getPath().getName() for s in fs.listStatus(path(piece))]
+            listed += [f"{piece}/{n}" for n in sorted((n for n in names if n.startswith("part-")), key=_part_number)]
+            continue
+        out = fs.create(path(f"{aside}/text-{k}"), True)
+        out.write(bytearray(piece.encode()))
+        out.close()
+        listed.append(f"{aside}/text-{k}")
+    whole = path(listed[0])
+    try:
+        rest = spark.sparkContext._gateway.new_array(path, len(listed) - 1)
+        for k, name in enumerate(listed[1:]):
+            rest[k] = path(name)
+        fs.concat(whole, rest)
+    except UnsupportedOperationException:
+        whole = path(f"{aside}/whole")
+        out = fs.create(whole, True)
+        for name in listed:
+            source = fs.open(path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(whole), fs.makeQualified(path(file)), kinds)
+    fs.delete(path(aside), True)
+
+
+def _part_number(name: str) -> tuple[int, str]:
+    return int(name.split("-")[1].split(".")[0]), name
+
+
 READ_SCHEMA = ("_TrackID bigint,_Name string,_Artist string,_AverageBpm double,_Tonality string,_Location string,"
                "TEMPO array<struct<_Inizio:double,_Bpm:double,_Metro:string,_Battito:int>>,"
                "POSITION_MARK array<struct<_Name:string,_Type:string,_Start:double,_Num:string>>")
 
 
 def read_collection_xml(spark: SparkSession, path: str) -> DataFrame:
-    """TRACK elements back to rows, with tempo and mark arrays."""
-    x = spark.read.format("xml").schema(READ_SCHEMA).option("rowTag", "TRACK").load(f"{path}/collection")
+    """TRACK elements back to rows, with tempo and mark arrays; ``path`` is a folder of parts."""
+    return _collection(spark, f"{path}/collection")
+
+
+def read_collection_document(spark: SparkSession, file: str) -> DataFrame:
+    """The same of one document; the playlist's TRACK elements have a key and no number."""
+    return _collection(spark, file)
+
+
+def _collection(spark: SparkSession, path: str) -> DataFrame:
+    x = spark.read.format("xml").schema(READ_SCHEMA).option("rowTag", "TRACK").load(path).where("_TrackID is not null")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(x.schema[c].dataType))
     return x.select(F.col("_TrackID").alias("track_id"), F.col("_Name").alias("name"), F.coalesce("_Artist", F.lit("")).alias("artist"),
                     F.col("_AverageBpm").alias("average_bpm"), F.coalesce("_Tonality", F.lit("")).alias("tonality"),
@@ -135,13 +211,14 @@ def write_m3u8(lines: DataFrame, path: str) -> None:
 def read_m3u8(spark: SparkSession, path: str) -> DataFrame:
     """(playlist, duration_sec, label, path) of EXTINF/path line pairs.
 
-    Lines are ordered by file and offset; the following line comes from a
+    Lines are ordered by the number of their part file and their offset; the following line comes from a
     range-partitioned lead, so a playlist of any length is read in parallel.
     """
     lines = spark.read.text(path).select(
-        "playlist", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        "playlist", F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).try_cast("bigint").alias("_number"),
+        F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-    pairs = with_neighbour(lines, ["playlist"], ["_file", "_block", "_id"], {"line": "path"}, "next")
+    pairs = with_neighbour(lines, ["playlist"], ["_number", "_file", "_block", "_id"], {"line": "path"}, "next")
     meta = F.substr("line", F.lit(len("#EXTINF:") + 1))
     comma = F.instr(meta, ",")
     return (pairs.where(F.col("line").startswith("#EXTINF:") & (F.length("path") > 0) & ~F.col("path").startswith("#"))
