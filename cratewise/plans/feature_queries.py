@@ -69,7 +69,20 @@ def fold_tempo(spark, sf):
 
 # --- beats and grids -----------------------------------------------------------------
 
-@query("track_beats")
+# The recurrence as a recursive CTE: a track's scores and steps so far are lists that grow by one frame a turn; then the chain is followed back.
+_TRACKED = f"""{_TEMPO}, par AS (SELECT track_id, period, low, greatest(low + 1, floor(period * 2 + 0.5))::BIGINT AS high FROM
+  (SELECT track_id, 60 * {RATE}::DOUBLE / raw_bpm AS period, greatest(1, floor(60 * {RATE}::DOUBLE / raw_bpm / 2 + 0.5))::BIGINT AS low FROM tempo WHERE raw_bpm > 0 AND 60 * {RATE}::DOUBLE / raw_bpm >= 1)),
+env AS (SELECT track_id, list(value ORDER BY frame) AS x FROM onsets GROUP BY 1),
+dp(track_id, t, sc, st) AS (SELECT track_id, 0::BIGINT, []::DOUBLE[], []::BIGINT[] FROM env JOIN par USING (track_id)
+  UNION ALL SELECT track_id, t + 1, list_append(sc, x[t + 1] + coalesce(best.v, 0)), list_append(st, coalesce(-best.d, 0)) FROM
+   (SELECT dp.track_id, t, sc, st, x, list_max(list_transform(range(low, least(high, t) + 1), lambda d: {{'v': sc[t - d + 1] - 100 * pow(ln(d / period), 2), 'd': -d}})) AS best
+    FROM dp JOIN env USING (track_id) JOIN par USING (track_id) WHERE t < len(x))),
+fin AS (SELECT track_id, st, list_position(sc, list_max(sc))::BIGINT - 1 AS f FROM dp JOIN env USING (track_id) WHERE t = len(x)),
+chain(track_id, f) AS (SELECT track_id, f FROM fin
+  UNION ALL SELECT c.track_id, c.f - fin.st[c.f + 1] FROM chain c JOIN fin USING (track_id) WHERE fin.st[c.f + 1] > 0)"""
+
+
+@query("track_beats", oracle("onsets", f"""WITH {_TRACKED} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY f) - 1 AS i, {sql6(f'f / {RATE}::DOUBLE')} AS time_sec FROM chain""", recursive=True))
 def track_beats(spark, sf):
     b = bt.track_beats(v.onsets(spark, sf), tempo_rows(spark, sf), RATE, chunk=128)
     return b.select("track_id", "i", round6(F.col("time_sec")).alias("time_sec"))
