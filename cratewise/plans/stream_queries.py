@@ -66,6 +66,20 @@ def job_windows(spark, sf):
     return run(spark, jb.job_windows(job_stream(spark, sf)), "update", ["window_start"]).withColumn("window_start", F.unix_micros("window_start"))
 
 
+@query("job_windows_late", oracle("job_events", """WITH m AS (SELECT max("at") AS top FROM job_events),
+r AS (SELECT "at", status, error_code, FALSE AS late FROM job_events
+  UNION ALL SELECT "at", status, error_code, date_trunc('hour', "at") + INTERVAL 1 HOUR <= top - INTERVAL 1 DAY FROM job_events, m WHERE event_id % 40 = 0)
+SELECT epoch_us(date_trunc('hour', "at")) AS window_start, count(*) FILTER (NOT late) AS events, count(*) FILTER (NOT late AND status = 'failed') AS failed,
+  count(*) FILTER (NOT late AND status = 'failed' AND error_code IN ('worker_crash','worker_message','timeout','service_unavailable')) AS retryable,
+  count(*) FILTER (late) AS late_rows FROM r GROUP BY 1"""))
+def job_windows_late(spark, sf):
+    """The log, and then one event in forty once more, most of them behind the watermark."""
+    rows = v.job_events(spark, sf).withColumn("_slice", F.lit(0))
+    rows = rows.unionByName(rows.where("event_id % 40 = 0").withColumn("_slice", F.lit(1)))
+    out = jb.windows_with_late(rp.file_stream(spark, rows, "_slice", cuts=[1]), scratch_folder(spark, "late-windows"))
+    return out.withColumn("window_start", F.unix_micros("window_start"))
+
+
 _LEASE = 6 * 3600
 _EXPIRED = f"""o AS (SELECT *, lead("at") OVER w AS nx, lag("at") OVER w AS bf, lag(status) OVER w AS was FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY "at", event_id)),
 c AS (SELECT *, sum(CASE WHEN status = 'running' AND (was IS NULL OR was <> 'running' OR "at" > bf + INTERVAL {_LEASE} SECOND) THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS attempts FROM o)

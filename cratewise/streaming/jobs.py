@@ -42,6 +42,36 @@ def job_windows(events: DataFrame, length: str = "1 hour", delay: str = "1 day")
         F.col("w.start").alias("window_start"), "events", "failed", "retryable")
 
 
+def windows_with_late(events: DataFrame, folder: str, length: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """``job_windows`` of a stream with ``late_rows``: rows whose window the watermark had passed are counted apart, not dropped.
+
+    As in Spark's own rule, the watermark of a batch is the latest time of all
+    earlier batches less the delay, and a row is late if its window ends by
+    then. Each batch adds its partial counts per window, and its latest time, to
+    the table in ``folder``; a batch run again replaces its own. Counts are
+    summed on read, so a batch costs its own windows, and no state is kept.
+    """
+    spark = events.sparkSession
+    failed = F.col("status") == "failed"
+    counts = {"events": F.lit(True), "failed": failed, "retryable": failed & F.col("error_code").isin(RETRYABLE)}
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        done = None
+        if batch_id:
+            done = spark.read.parquet(f"{folder}/table").where(F.col("batch_id") < batch_id).agg(F.max("top")).first()[0]
+        passed = F.lit(done) - F.expr(f"interval {delay}") if done is not None else F.lit(None).cast("timestamp")
+        rows = batch.withColumn("w", F.window("at", length)).withColumn("late", F.coalesce(F.col("w.end") <= passed, F.lit(False)))
+        (rows.groupBy("w").agg(*[F.count_if(e & ~F.col("late")).alias(n) for n, e in counts.items()], F.count_if("late").alias("late_rows"),
+                               F.max("at").alias("top"))
+         .select(F.col("w.start").alias("window_start"), *counts, "late_rows", "top")
+         .write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}"))
+
+    query = (events.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).foreachBatch(save).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy("window_start").agg(*[F.sum(c).alias(c) for c in (*counts, "late_rows")])
+
+
 _LEASE_OUT = "job_id bigint, expired_at timestamp, attempts int, outcome string"
 
 

@@ -10,8 +10,8 @@ from cratewise.sources.folders import scratch_folder
 ROWS_PER_FILE = 1000
 
 
-def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 3) -> DataFrame:
-    """``rows`` replayed as a stream in ``order``: one micro-batch per slice.
+def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int = 3, cuts: list | None = None) -> DataFrame:
+    """``rows`` replayed as a stream in ``order``: one micro-batch per slice, of like size or cut at the values ``cuts``.
 
     Slices are written one after the other, because a file stream takes files by
     age and an early slice read late would count as late data. Each slice is
@@ -19,7 +19,9 @@ def file_stream(spark: SparkSession, rows: DataFrame, order: str, batches: int =
     and a trigger takes that many files.
     """
     folder = scratch_folder(spark, "stream-in")
-    cuts = rows.approxQuantile(order, [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    if cuts is None:
+        cuts = rows.approxQuantile(order, [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    batches = len(cuts) + 1
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, min(tasks, rows.count() // (batches * ROWS_PER_FILE)))
     edges = [None, *cuts, None]
