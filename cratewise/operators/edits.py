@@ -165,12 +165,12 @@ def remove_cue(cues: Column, cue_id: Column) -> Column:
 def tap_tempo(taps: DataFrame) -> DataFrame:
     """``taps(group_id, seq, at_sec)``: 60 over the median gap between 0.2 and 2 s.
 
-    Gaps come from a range-partitioned lag, so one long tap run is no hot task;
-    the median is Spark's exact percentile over distinct gap counts.
+    Gaps come from a range-partitioned lag and the median from their ranks, so
+    one long tap run is no hot task and no buffer.
     """
-    from cratewise.operators.ordered import with_neighbour
+    from cratewise.operators.ordered import grouped_quantiles, with_neighbour
     gaps = with_neighbour(taps, ["group_id"], ["seq"], {"at_sec": "_before"}, "previous")
     gap = F.col("at_sec") - F.col("_before")
-    return (gaps.withColumn("gap", gap).where((F.col("gap") > 0.2) & (F.col("gap") < 2))
-            .groupBy("group_id").agg((F.lit(60.0) / F.percentile("gap", F.lit(0.5))).alias("bpm"),
-                                     F.count(F.lit(1)).alias("gaps")))
+    kept = gaps.select("group_id", gap.alias("gap")).where((F.col("gap") > 0.2) & (F.col("gap") < 2))
+    return grouped_quantiles(kept, ["group_id"], "gap", {"median": 0.5}).select(
+        "group_id", (F.lit(60.0) / F.col("median")).alias("bpm"), F.col("n").alias("gaps"))

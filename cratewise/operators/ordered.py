@@ -92,6 +92,31 @@ def with_neighbour(df: DataFrame, group: Sequence[str], order: Sequence[str],
                         for i, name in enumerate(values.values())])
 
 
+def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, a column per name of ``shares``): exact quantiles with linear interpolation, for groups of any size.
+
+    Equal values are counted before they are shuffled, and ranks are running
+    sums of the counts over a range partitioning, so no group is sorted or held
+    in one task. Null values don't count; the result equals ``percentile``.
+    """
+    held = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = with_position(held, [F.col(value)], "_place", {"_c": "_before"}, group)
+    totals = held.groupBy(*[F.col(g).alias(f"_t_{g}") for g in group]).agg(F.sum("_c").alias("n"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_t_{g}"))
+    rows = ranked.join(totals, same)
+    parts, out = [], []
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * F.lit(float(share))
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            holds = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+            parts.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{end}"))
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    return rows.groupBy(*group, "n").agg(*parts).select(*group, "n", *out)
+
+
 def with_halo(df: DataFrame, position: str, chunk: int, before: int = 0, after: int = 0,
               chunk_col: str = "_chunk", core_col: str = "_core") -> DataFrame:
     """Cut a positioned series into chunks and copy edge rows to neighbours.
