@@ -112,6 +112,7 @@ def write_collection_document(rows: DataFrame, file: str, base_folder: str, play
     n = rows.count()
     keys = spark.range(1, n + 1).select(F.format_string('<TRACK Key="%d"/>', F.col("id")))
     keys.write.text(f"{parts}/keys")
+    # Elements and attributes of the format around the tracks.
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<DJ_PLAYLISTS Version="1.0.0">\n<COLLECTION Entries="{n}">\n'
     middle = (f'</COLLECTION>\n<PLAYLISTS>\n<NODE Type="0" Name="ROOT" Count="1">\n'
               f'<NODE Name={quoteattr(playlist)} Type="1" KeyType="0" Entries="{n}">\n')
