@@ -3,8 +3,10 @@
 Two first-order Markov models over characters, one of random strings and one of
 ordinary identifiers, are trained from labelled samples of the corpus itself:
 what the patterns find is random, long runs in documents where they find
-nothing are ordinary. A run that no pattern covers is a secret when the mean
-log-likelihood ratio of its steps exceeds a threshold.
+nothing are ordinary. What the patterns leave of a run is searched for stretches
+of 16 characters or more whose steps have a mean log-likelihood ratio above a
+threshold: a running sum that starts afresh where a window alone does better, so
+that a key at the end of a path, or beside a pattern's find, isn't averaged away.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
+LEAST = 16  # characters of a run, and of a stretch in it
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # state 0 is any other character
@@ -101,28 +104,96 @@ def fit_markov(docs: DataFrame, *, text: str = "text", sample: int = 5_000, smoo
     return cut_lineage(rows.select(F.transform("c", lambda x: x["w"]).alias("weights")))
 
 
-def scan_secrets(docs: DataFrame, weights: DataFrame, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces() -> Column:
+    """(start, end) of what the base spans leave of each run, if 16 characters or more, in order.
+
+    One pass over runs and spans in the order of their starts: ``far`` is the end
+    of the base spans so far, ``run`` the run last met.
+    """
+    piece = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("far"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")).alias("run"),
+                     F.array().cast(piece).alias("out"))
+
+    def left(state: Column, stop: Column) -> Column:
+        begin = F.greatest(state["run"]["start"], state["far"])
+        end = F.least(state["run"]["end"], stop)
+        held = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        return F.when(end - begin >= LEAST, F.concat(state["out"], held)).otherwise(state["out"])
+
+    def step(state: Column, x: Column) -> Column:
+        base = x["k"] < 3
+        return F.struct(F.when(base, F.greatest(state["far"], x["end"])).otherwise(state["far"]).alias("far"),
+                        F.when(base, state["run"]).otherwise(F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("run"),
+                        left(state, x["start"]).alias("out"))
+
+    return F.aggregate(F.sort_array(F.concat("_base", "_runs")), start, step, lambda s: left(s, s["run"]["end"]))
+
+
+def _scored(pieces: Column, threshold: float) -> Column:
+    """Each piece with its start and, per step, the log ratio less ``threshold``."""
+    with_states = F.transform(pieces, lambda p: F.struct(
+        p["start"].alias("start"), _states(F.substring(F.col("_body"), p["start"] + 1, p["end"] - p["start"])).alias("s")))
+    return F.transform(with_states, lambda p: F.struct(p["start"].alias("start"), F.transform(
+        F.sequence(F.lit(1), F.size(p["s"]) - 1),
+        lambda i: F.get("_table", F.get(p["s"], i - 1) * STATES + F.get(p["s"], i)) - F.lit(threshold)).alias("x")))
+
+
+def _stretches(piece: Column, gain: float) -> Column:
+    """Spans of the stretches of a piece, 16 characters or more, whose steps sum to more than ``gain``.
+
+    ``sum`` is the best sum of a stretch that ends here: the one before and this
+    step, or the last 15 steps alone. ``top`` is the best sum met, from ``start``
+    to ``end``; it is given out when a stretch that begins behind it does better
+    alone, so the best stretch of all is among those given, and none overlap.
+    """
+    window = LEAST - 1
+    x = piece["x"]
+    zero, none = F.lit(0.0), F.lit(0)
+    begin = F.struct(F.lit(float("-inf")).alias("sum"), none.alias("since"), zero.alias("top"), none.alias("start"), none.alias("end"),
+                     zero.alias("last"), F.array().cast(NO_SPANS).alias("out"))
+
+    def given(state: Column) -> Column:
+        span = F.struct((piece["start"] + state["start"]).alias("start"), F.lit(3).alias("k"), (piece["start"] + state["end"]).alias("end"))
+        return F.when(state["top"] > gain, F.concat(state["out"], F.array(span))).otherwise(state["out"])
+
+    def step(a: Column, i: Column) -> Column:
+        here = F.get(x, i - 1)
+        sums = F.struct((a["sum"] + here).alias("longer"), (a["last"] + here - F.coalesce(F.get(x, i - 1 - window), zero)).alias("last"))
+
+        def move(v: Column) -> Column:
+            fresh = (i >= window) & (v["last"] > v["longer"])
+            over = fresh & (a["end"] <= i - window)
+            total = F.when(fresh, v["last"]).otherwise(v["longer"])
+            since = F.when(fresh, i - window).otherwise(a["since"])
+            better = total > F.when(over, zero).otherwise(a["top"])
+            return F.struct(total.alias("sum"), since.alias("since"), F.when(better, total).when(over, zero).otherwise(a["top"]).alias("top"),
+                            F.when(better, since).otherwise(a["start"]).alias("start"), F.when(better, i + 1).otherwise(a["end"]).alias("end"),
+                            v["last"].alias("last"), F.when(over, given(a)).otherwise(a["out"]).alias("out"))
+
+        return _let(sums, move)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(x)), begin, step, given)
+
+
+def scan_secrets(docs: DataFrame, weights: DataFrame, *, text: str = "text", threshold: float = 0.5, gain: float = 0.0) -> DataFrame:
     """Add counts and spans of secrets to each row; ``spans`` has (start, kind, end) of all of them.
 
+    A stretch counts if the mean ratio of its steps exceeds ``threshold`` and the
+    sum of what they have above it exceeds ``gain``; no stretch overlaps another
+    or a base span.
     Null texts count as empty and have no spans. Rows are judged one by one, so
     repeated rows get equal spans. A text's spans are ordered by start, then by
     kind in the order of ``KINDS``.
     """
     df = base_spans(docs, text).withColumn("_base", F.sort_array(F.concat("_assign", "_access", "_hex")))
     df = df.withColumn("_runs", _spans(F.col("_body"), RUN, 3)).withColumn("_table", weights.scalar())
-
-    def free(r: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-
-    def ratio(r: Column) -> Column:
-        states = _states(F.substring(F.col("_body"), r["start"] + 1, r["end"] - r["start"]))
-        total = F.aggregate(states, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda s, x: F.struct(
-            x.alias("last"),
-            (s["sum"] + F.when(s["last"] < 0, 0.0).otherwise(F.get("_table", s["last"] * STATES + x))).alias("sum")),
-            lambda s: s["sum"])
-        return total / (r["end"] - r["start"] - 1)
-
-    df = df.withColumn("_markov", F.filter("_runs", lambda r: free(r) & (ratio(r) > threshold)))
+    found = F.flatten(F.transform(_scored(_pieces(), threshold), lambda p: _stretches(p, gain)))
+    df = df.withColumn("_markov", F.when(F.size("_runs") > 0, found).otherwise(F.array().cast(NO_SPANS)))
     df = df.withColumn("spans", F.sort_array(F.concat("_base", "_markov")))
     return (df.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}).withColumnRenamed("_base", "base_spans")
             .drop("_body", "_assign", "_access", "_hex", "_runs", "_table", "_markov"))

@@ -52,3 +52,54 @@ def test_without_samples_only_patterns_count(spark):
     assert all(r["spans"] == [] for r in secret_scan.scan_secrets(docs, secret_scan.fit_markov(docs)).collect())
     empty = documents(spark, [])
     assert secret_scan.scan_secrets(empty, secret_scan.fit_markov(empty)).count() == 0
+
+
+def stretch_sums(piece, weights, threshold):
+    """The best sum over stretches of 16 characters or more, by trying all of them."""
+    states = [secret_scan.ALPHABET.find(c) + 1 for c in piece]
+    sums = [0.0]
+    for a, b in zip(states, states[1:]):
+        sums.append(sums[-1] + weights[a * secret_scan.STATES + b] - threshold)
+    return max(sums[e] - sums[s] for s in range(len(piece)) for e in range(s + secret_scan.LEAST - 1, len(piece))), sums
+
+
+def pieces(text, base):
+    """What the base spans leave of each run."""
+    covered = {k for s, _, e in base for k in range(s, e)}
+    for run in re.finditer(secret_scan.RUN, text):
+        free = "".join("x" if k not in covered else " " for k in range(*run.span()))
+        for m in re.finditer("x{16,}", free):
+            yield run.start() + m.start(), run.start() + m.end()
+
+
+def test_stretches_are_the_best_of_what_patterns_leave(spark):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    syllables = ["con", "fig", "ura", "tion", "man", "ager", "ser", "vice", "han", "dler"]
+    path = lambda n: "/".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(n))
+    train = [f"token = {draw(32)}" for _ in range(200)] + [f"call {path(3)} now" for _ in range(300)]
+    digits = "".join(rng.choice("0123456789abcdef") for _ in range(16))
+    held = [f"see {path(8)}/{draw(32)} end" for _ in range(20)]  # a key at the end of a long path
+    held += [f"see {draw(30)}/{path(9)}/{draw(30)} end" for _ in range(20)]  # one at each end
+    held += [f"see {path(4)}/{digits}/{draw(32)} end" for _ in range(20)]  # behind a base span of the same run
+    held += [f"see {path(12)} end" for _ in range(20)] + ["x" * 2000, draw(16), draw(15), "é𝄞 " + draw(40), f"token={draw(20)}/{path(5)}", ""]
+    held += ["".join(rng.choice("ab/_=-Z9") for _ in range(rng.randrange(10, 80))) for _ in range(60)]
+    docs = documents(spark, held)
+    model = secret_scan.fit_markov(documents(spark, train))
+    weights = model.first()["weights"]
+    rows = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs, model).collect()}
+    for k, text in enumerate(held):
+        found = [(s["start"], s["end"]) for s in rows[k]["spans"] if s["k"] == 3]
+        assert rows[k]["n_markov"] == len(found) and [tuple(s) for s in rows[k]["base_spans"]] == plain(text)
+        whole = list(pieces(text, plain(text)))
+        for begin, end in whole:
+            best, sums = stretch_sums(text[begin:end], weights, 0.5)
+            inside = [(s, e) for s, e in found if begin <= s and e <= end]
+            got = [sums[e - begin - 1] - sums[s - begin] for s, e in inside]
+            assert all(g > 0 and e - s >= secret_scan.LEAST for g, (s, e) in zip(got, inside))
+            assert bool(inside) == (best > 1e-9) and (not inside or abs(max(got) - best) < 1e-9), (text, inside)
+        assert all(e <= s for (_, e), (s, _) in zip(found, found[1:]))
+        assert all(any(b <= s and e <= x for b, x in whole) for s, e in found)
+    hits = lambda rows_: sum(bool(rows[k]["n_markov"]) for k in rows_)
+    assert hits(range(20)) >= 18 and hits(range(40, 60)) >= 18 and hits(range(60, 80)) <= 2
+    assert sum(rows[k]["n_markov"] >= 2 for k in range(20, 40)) >= 15
