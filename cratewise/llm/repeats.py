@@ -9,9 +9,13 @@ such a place can be part of a repeat. These go to suffix buckets, chosen by a
 rare inner string so that neighbouring suffixes stay together, and one bucket
 at a time is sorted; equal neighbours share 400 bytes.
 
-Suffixes are ordered by 64-bit fingerprints of the strings compared, not by the
-bytes themselves, since only equality of 400 bytes is asked for. The bound on
-memory is the bucket's size, which does not grow with the corpus.
+Suffixes are ordered by fingerprints of the strings compared, not by the bytes
+themselves, since only equality of 400 bytes is asked for: 64 bits in the sample,
+which only chooses candidates, and 96 bits in the buckets, which decide (among
+10^13 places fewer than one pair in a thousand runs is equal by chance). A bucket
+holds 16 MB however large the corpus; a string of very many texts adds to its
+bucket two entries a task, since a task asks for a string twice at most as long
+as it remembers it.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ COVER = (0, 12, 19, 20, 22, 43, 60, 71, 76, 85, 89, 115, 121, 168)
 ANCHOR = 32  # bytes of the inner strings that choose a suffix's bucket
 BUCKET_BYTES = 16 << 20
 CHUNK = 1 << 20  # bytes of text worked on at once; a task holds some 150 bytes for each
+REMEMBERED = 1 << 19  # strings that a task remembers to have asked for
 
 _RATIO = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[str, np.ndarray] = {}
@@ -40,7 +45,8 @@ _TABLES: dict[str, np.ndarray] = {}
 def _tables() -> dict[str, np.ndarray]:
     if not _TABLES:
         draw = np.random.default_rng(400)
-        _TABLES["byte"] = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for name in ("byte", "check"):
+            _TABLES[name] = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         inverse = np.uint64(pow(int(_RATIO), -1, 1 << 64))
         for name, ratio in (("up", _RATIO), ("down", inverse)):
             _TABLES[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, ratio)]), dtype=np.uint64)
@@ -50,15 +56,15 @@ def _tables() -> dict[str, np.ndarray]:
     return _TABLES
 
 
-def fingerprints(data: np.ndarray, width: int) -> np.ndarray:
-    """64-bit fingerprints of the ``width`` bytes from each place on, in constant time per place."""
+def fingerprints(data: np.ndarray, width: int, table: str = "byte") -> np.ndarray:
+    """64-bit fingerprints of the ``width`` bytes from each place on, in constant time per place; ``check`` is an independent table."""
     t, out = _tables(), []
     for at in range(0, max(0, len(data) - width + 1), CHUNK - width):
         part = data[at:at + CHUNK]
         if len(part) < width:
             break
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t["byte"][part] * t["up"][:len(part)], dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[table][part] * t["up"][:len(part)], dtype=np.uint64)])
             n = min(len(part) - width + 1, CHUNK - width)
             out.append(mix((sums[width:width + n] - sums[:n]) * t["down"][:n]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -97,6 +103,38 @@ class _Slice:
         return at, fingerprints(self.data, width)[at]
 
 
+class _Asked:
+    """Strings that a task has asked for, by mark and check, and how often (up to twice).
+
+    Two questions are enough for the bucket to answer both; whoever holds the
+    string later in the task knows that it repeats. The memory is bounded, and
+    what is forgotten is asked for again, so it changes no result.
+    """
+
+    def __init__(self) -> None:
+        self.marks, self.checks, self.times = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int8)
+
+    def settled(self, marks: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Whether each of a batch's distinct strings was asked for twice before; the others are noted."""
+        at = np.searchsorted(self.marks, marks)
+        at[at == len(self.marks)] = 0
+        same = (self.marks[at] == marks) & (self.checks[at] == checks) if len(self.marks) else np.zeros(len(marks), bool)
+        done = np.zeros(len(marks), bool)
+        done[same] = self.times[at[same]] > 1
+        self.times[at[same]] = 2
+        if len(self.marks) + len(marks) > REMEMBERED:
+            keep = self.times > 1
+            keep &= keep.sum() <= REMEMBERED // 2
+            self.marks, self.checks, self.times = self.marks[keep], self.checks[keep], self.times[keep]
+        new = ~same
+        joined = np.concatenate([self.marks, marks[new]])
+        order = np.argsort(joined, kind="stable")
+        self.marks = joined[order]
+        self.checks = np.concatenate([self.checks, checks[new]])[order]
+        self.times = np.concatenate([self.times, np.ones(new.sum(), np.int8)])[order]
+        return done
+
+
 def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
@@ -105,11 +143,13 @@ def _rank_sample(width: int, buckets: int):
     """A text's sampled strings by bucket; strings that a batch holds more than once are known to repeat."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Asked()
         for batch in slices(batches, "text", CHUNK):
             s = _Slice(batch)
             at, marks = s.sampled(width)
-            _, first, back, held = np.unique(marks, return_index=True, return_inverse=True, return_counts=True)
-            known = held[back] > 1
+            values, first, back, held = np.unique(marks, return_index=True, return_inverse=True, return_counts=True)
+            settled = memory.settled(values, np.zeros(len(values), np.uint32))
+            known, first = ((held > 1) | settled)[back], first[~settled]
             rows = []
             # Known repeats travel by text, so that a string of very many texts isn't gathered in one bucket.
             owner = np.unique(np.stack([s.row[at[known]].astype(np.uint64), marks[known]]), axis=1) if known.any() else np.zeros((2, 0), np.uint64)
@@ -141,16 +181,23 @@ def _flat(table: pa.Table, column: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
 
 
-def _repeated(marks: np.ndarray) -> np.ndarray:
-    """Whether each mark of a bucket has an equal neighbour when sorted."""
-    order = np.argsort(marks, kind="stable")
-    ranked = marks[order]
-    same = np.zeros(len(marks), bool)
-    equal = ranked[1:] == ranked[:-1]
-    same[1:] |= equal
-    same[:-1] |= equal
+def _sorted(marks: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of marks, then checks, then places, and which entries in it differ from the one before."""
+    keys = [marks] if checks is None else [marks, checks]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for values in keys:
+        ranked = values[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, new
+
+
+def _repeated(marks: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
+    """Whether each entry of a bucket has an equal neighbour when sorted."""
+    order, new = _sorted(marks, checks)
     out = np.zeros(len(marks), bool)
-    out[order] = same
+    out[order] = ~new | ~np.append(new[1:], True)
     return out
 
 
@@ -173,6 +220,7 @@ def _suffix_buckets(length: int, width: int, buckets: int):
     """Suffixes near repeated sampled strings by bucket, as runs of places with a fingerprint each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Asked()
         for batch in slices(batches, "text", CHUNK):
             s = _Slice(batch)
             at, marks = s.sampled(width)
@@ -185,32 +233,38 @@ def _suffix_buckets(length: int, width: int, buckets: int):
             np.add.at(cover, hits + 1, -1)
             where = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & (s.left >= length))
             full = fingerprints(s.data, length)[where]
+            check = (fingerprints(s.data, length, "check")[where] >> np.uint64(32)).astype(np.uint32)
             anchors = least_inside(fingerprints(s.data, ANCHOR), length - ANCHOR + 1)[where]
             bucket = (mix(anchors + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-            _, first, back, held = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
-            out: list[list] = [[] for _ in range(6)]
-            known = where[held[back] > 1]
+            order, new = _sorted(full, check)
+            first, held = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+            settled = memory.settled(full[first], check[first])
+            repeats = np.zeros(len(where), bool)
+            repeats[order] = np.repeat((held > 1) | settled, held)
+            first = first[~settled]
+            out: list[list] = [[] for _ in range(7)]
+            known = where[repeats]
             if len(known):
                 starts, sizes = _runs(known, s.row[known])
                 keys = s.keys[s.row[known[starts]]]
                 to = (mix(keys[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                add_rows(out, to, True, keys, s.place[known[starts]], sizes, None, None)
+                add_rows(out, to, True, keys, s.place[known[starts]], sizes, (), None)
             first.sort()
             starts, sizes = _runs(where[first], s.row[where[first]], bucket[first])
             if len(first):
-                add_rows(out, bucket[first[starts]], False, s.keys[s.row[where[first[starts]]]], s.place[where[first[starts]]], sizes, full[first], starts)
-            types = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                add_rows(out, bucket[first[starts]], False, s.keys[s.row[where[first[starts]]]], s.place[where[first[starts]]], sizes, (full[first], check[first]), starts)
+            types = (pa.int64(), pa.bool_(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
-                                             names=["bucket", "known", "keys", "starts", "sizes", "marks"])
+                                             names=["bucket", "known", "keys", "starts", "sizes", "marks", "checks"])
 
-    def add_rows(out, bucket, known, keys, starts, sizes, marks, firsts) -> None:
+    def add_rows(out, bucket, known, keys, starts, sizes, prints, firsts) -> None:
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
         for x, y in zip(edges, [*edges[1:], len(order)]):
             part = order[x:y]
-            held = b"" if marks is None else _packed(np.concatenate([marks[firsts[r]:firsts[r] + sizes[r]] for r in part]))
+            held = [_packed(np.concatenate([v[firsts[r]:firsts[r] + sizes[r]] for r in part])) for v in prints] or [b"", b""]
             for column, value in zip(out, (int(bucket[part[0]]), known, _packed(keys[part]), _packed(starts[part].astype(np.int64)),
-                                           _packed(sizes[part].astype(np.int64)), held)):
+                                           _packed(sizes[part].astype(np.int64)), *held)):
                 column.append(value)
 
     return work
@@ -231,13 +285,14 @@ def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _sort_bucket(table: pa.Table) -> pa.Table:
     """(a, b, start, n): runs of places whose 400 bytes start elsewhere too."""
     known, keys = table.column("known").to_pylist(), [k.reshape(-1, 2) for k in _flat(table, "keys", np.int64)]
-    starts, sizes, marks = (_flat(table, c, t) for c, t in (("starts", np.int64), ("sizes", np.int64), ("marks", np.uint64)))
+    starts, sizes, marks, checks = (_flat(table, c, t) for c, t in (
+        ("starts", np.int64), ("sizes", np.int64), ("marks", np.uint64), ("checks", np.uint32)))
     a = [np.zeros((0, 2), np.int64), *[k for k, yes in zip(keys, known) if yes]]
     begin = [np.zeros(0, np.int64), *[x for x, yes in zip(starts, known) if yes]]
     count = [np.zeros(0, np.int64), *[x for x, yes in zip(sizes, known) if yes]]
     asked = [i for i, yes in enumerate(known) if not yes]
     if asked:
-        found = _repeated(np.concatenate([marks[i] for i in asked]))
+        found = _repeated(np.concatenate([marks[i] for i in asked]), np.concatenate([checks[i] for i in asked]))
         size = np.concatenate([sizes[i] for i in asked])
         run = np.repeat(np.arange(len(size)), size)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
@@ -304,11 +359,11 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", length: int = 400, bu
     asked = single.mapInArrow(_rank_sample(width, max(1, -(-share // bucket_bytes))),
                               "bucket bigint, known boolean, keys binary, counts binary, marks binary")
     marks = stored(asked.groupBy("bucket").applyInArrow(_answer_sample, "a bigint, b bigint, mark bigint").distinct(), "marks")
-    near = marks.count() * MODULUS // len(COVER) * 8
+    near = marks.count() * MODULUS // len(COVER) * 12
     by_text = marks.groupBy("a", "b").agg(F.collect_list("mark").alias("marks"))  # bounded by the text itself
     found = joined_small(single, marks.select("a", "b").distinct(), ["a", "b"], "left_semi").join(by_text, ["a", "b"])
     suffixes = found.mapInArrow(_suffix_buckets(length, width, max(1, -(-near // bucket_bytes))),
-                                "bucket bigint, known boolean, keys binary, starts binary, sizes binary, marks binary")
+                                "bucket bigint, known boolean, keys binary, starts binary, sizes binary, marks binary, checks binary")
     runs = stored(suffixes.groupBy("bucket").applyInArrow(_sort_bucket, "a bigint, b bigint, start bigint, n bigint"), "runs")
     whole = runs.groupBy("a", "b").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     cut = joined_small(single, runs.select("a", "b").distinct(), ["a", "b"], "left_semi")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cratewise.llm import repeats
@@ -83,3 +84,36 @@ def test_one_passage_in_ten_thousand_texts(spark):
     assert len(passage) > 500
     rows = repeats.repeated_bytes(documents(spark, texts).repartition(6), bucket_bytes=1 << 16).collect()
     assert len(rows) == 10_000 and all(r["n_removed"] >= len(passage) and r["n_spans"] == 1 and r["n_kept"] < 60 for r in rows)
+
+
+def test_a_task_asks_for_a_string_twice_at_most():
+    passage = prose(11, 110)
+    batches = [pa.RecordBatch.from_pydict({"a": [k], "b": [k * 7919], "text": [passage + prose(100 + k, 80)]}) for k in range(12)]
+    rows = [r for batch in repeats._rank_sample(218, 1)(iter(batches)) for r in batch.to_pylist()]
+    asked = [m for r in rows if not r["known"] for m in np.unique(np.frombuffer(r["marks"], np.uint64))]
+    assert max(asked.count(m) for m in set(asked)) == 2
+    answers = repeats._answer_sample(pa.Table.from_pylist(rows))
+    own = [repeats.fingerprints(np.frombuffer(passage.encode(), np.uint8), 218)[k] for k in range(len(passage) - 217) if k % repeats.MODULUS in repeats.COVER]
+    held = {(a, np.uint64(m & (1 << 64) - 1)) for a, m in zip(answers["a"].to_pylist(), answers["mark"].to_pylist())}
+    assert held == {(k, m) for k in range(12) for m in own}
+
+
+def test_forgotten_strings_are_asked_for_again(monkeypatch):
+    monkeypatch.setattr(repeats, "REMEMBERED", 8)
+    rng, memory, times = np.random.default_rng(3), repeats._Asked(), {}
+    for _ in range(300):
+        marks = np.unique(rng.integers(0, 20, 4).astype(np.uint64))
+        for m, done in zip(marks.tolist(), memory.settled(marks, np.zeros(len(marks), np.uint32))):
+            assert not done or times[m] >= 2
+            times[m] = times.get(m, 0) + (not done)
+        assert len(memory.marks) <= 8 and (np.diff(memory.marks.astype(int)) > 0).all()
+
+
+def test_equal_marks_with_other_checks_are_no_repeats():
+    def bucket(checks):
+        packed = lambda v, t: [np.array([x], t).tobytes() for x in v]
+        return pa.table({"bucket": [0, 0], "known": [False, False], "keys": [np.array([k, k]).tobytes() for k in (1, 2)],
+                         "starts": packed([5, 9], np.int64), "sizes": packed([1, 1], np.int64),
+                         "marks": packed([77, 77], np.uint64), "checks": packed(checks, np.uint32)})
+    assert repeats._sort_bucket(bucket([3, 4])).num_rows == 0
+    assert repeats._sort_bucket(bucket([3, 3])).column("start").to_pylist() == [5, 9]
