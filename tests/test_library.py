@@ -164,6 +164,27 @@ def test_scan_folder_rules(spark, tmp_path):
     assert got == [("a/b/one.mp3", "one.mp3", 5), ("a/b/two.FLAC", "two.FLAC", 5)]
 
 
+def test_scan_folder_does_not_follow_links(spark, tmp_path):
+    library, other = tmp_path / "library", tmp_path / "other"
+    for folder in (library / "a b" / "_c%20é", library / ".cache", other):
+        folder.mkdir(parents=True)
+    (library / "a b" / "_c%20é" / "one.mp3").write_bytes(b"123")
+    (library / ".cache" / "two.mp3").write_bytes(b"1")
+    (other / "three.mp3").write_bytes(b"1")
+    (library / "linked").symlink_to(other)
+    (library / "linked.mp3").symlink_to(other / "three.mp3")
+    (library / "a b" / "cycle").symlink_to(library)
+    for k in range(30):
+        (library / "many" / str(k)).mkdir(parents=True)
+        (library / "many" / str(k) / f"{k}.wav").write_bytes(b"x" * k)
+    rows = {r["relative_path"]: r for r in scan_folder(spark, str(library)).collect()}
+    assert set(rows) == {"a b/_c%20é/one.mp3", *(f"many/{k}/{k}.wav" for k in range(30))}
+    assert all(r["size_bytes"] == (3 if "one" in p else int(r["name"][:-4])) for p, r in rows.items())
+    assert rows["a b/_c%20é/one.mp3"]["path"] == f"file:{library}/a b/_c%20é/one.mp3"
+    assert scan_folder(spark, f"file://{library}", max_depth=1).count() == 0
+    assert scan_folder(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_scans_prune_columns_and_push_filters(spark):
     from cratewise.operators.feedback import feedback_for
     df = feedback_for(v.feedback(spark, SF), 7).select("to_id")
