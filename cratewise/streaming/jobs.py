@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -83,33 +84,29 @@ def expired_leases(events: DataFrame, lease_sec: int = LEASE_SEC, max_attempts:
     attempts so far; an event-time timer fires when the watermark passes the
     end of the lease.
     """
-    lease = pd.Timedelta(seconds=lease_sec)
+    lease = lease_sec * 1_000_000
 
-    def outcome(key, at, attempts):
-        return (key, at + lease, attempts, "failed" if attempts >= max_attempts else "requeued")
+    def outcomes(job, last, attempts) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": np.full(len(last), job), "expired_at": (last + lease).astype("datetime64[us]"),
+                             "attempts": attempts.astype(np.int32), "outcome": np.where(attempts >= max_attempts, "failed", "requeued")})
 
     def step(key, batches, state: GroupState):
-        (job,) = key
-        status, last_ms, attempts = state.get if state.exists else ("", 0, 0)
-        last = pd.Timestamp(last_ms, unit="us") if status else None
-        out = []
+        status, last, attempts = state.get if state.exists else ("", 0, 0)
         if state.hasTimedOut:
-            out.append(outcome(job, last, attempts))
-            state.update(("requeued", last_ms, attempts))
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-            for at, now in zip(rows["at"], rows["status"]):
-                if status == "running" and at - last > lease:
-                    out.append(outcome(job, last, attempts))
-                    status = "requeued"
-                if now == "running" and status != "running":
-                    attempts += 1
-                status, last = now, at
-            state.update((status, int(last.value // 1000), attempts))
-            if status == "running":
-                due = int((last + lease).value // 1_000_000)
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "expired_at", "attempts", "outcome"])
+            yield outcomes(key[0], np.array([last]), np.array([attempts]))
+            state.update(("requeued", last, attempts))
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        at = rows["at"].to_numpy("datetime64[us]").astype(np.int64)
+        running = (rows["status"] == "running").to_numpy(bool)
+        # each row beside the one before it; the first beside the state
+        before, was = np.append(last, at[:-1]), np.append(status == "running", running[:-1])
+        expired = was & (at - before > lease)
+        claims = attempts + np.cumsum(running & (~was | expired))
+        yield outcomes(key[0], before[expired], np.append(attempts, claims[:-1])[expired])
+        state.update((rows["status"].iloc[-1], int(at[-1]), int(claims[-1])))
+        if running[-1]:
+            state.setTimeoutTimestamp(max(int(at[-1] + lease) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
         step, _LEASE_OUT, "status string, last_us bigint, attempts int", "append", GroupStateTimeout.EventTimeTimeout)
