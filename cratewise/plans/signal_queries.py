@@ -268,9 +268,15 @@ _HPSS = """med AS (SELECT *, quantile_cont(mag, 0.5) OVER (PARTITION BY track_id
 hp AS (SELECT track_id, frame, bin, hz, mag * CASE WHEN h + p > 0 THEN h / (h + p) ELSE 0.5 END AS hv, mag * (1 - CASE WHEN h + p > 0 THEN h / (h + p) ELSE 0.5 END) AS pv FROM med)"""
 
 
+def all_bins(spark, sf):
+    """Frames with every bin of the geometry, null where the vector has none."""
+    bins = F.transform(F.sequence(F.lit(0), F.lit(GEO.bins - 1)), lambda b: F.get("mags", b))
+    return v.frames(spark, sf).withColumn("mags", bins)
+
+
 @query("hpss", oracle("cells", f"WITH {_HPSS} SELECT track_id, frame, bin, {sql6('hv')} AS harmonic, {sql6('pv')} AS percussive FROM hp"))
 def hpss(spark, sf):
-    p = sp.hpss(v.frames(spark, sf), chunk=CHUNK)
+    p = sp.hpss(all_bins(spark, sf), chunk=CHUNK)
     return p.select("track_id", "frame", F.posexplode(F.arrays_zip("harmonic", "percussive")).alias("bin", "z")).select(
         "track_id", "frame", F.col("bin").cast("bigint").alias("bin"), round6(F.col("z.harmonic")).alias("harmonic"),
         round6(F.col("z.percussive")).alias("percussive"))
@@ -278,7 +284,7 @@ def hpss(spark, sf):
 
 @query("hpss_energy", oracle("cells", f"WITH {_HPSS} SELECT track_id, {sql6('sum(hv)')} AS harmonic_energy, {sql6('sum(pv)')} AS percussive_energy, {sql6('sum(pv) / (sum(hv) + sum(pv))')} AS percussive_ratio FROM hp GROUP BY 1"))
 def hpss_energy(spark, sf):
-    e = sp.hpss_energy(sp.hpss(v.frames(spark, sf), chunk=CHUNK))
+    e = sp.hpss_energy(sp.hpss(all_bins(spark, sf), chunk=CHUNK))
     return e.select("track_id", *[round6(F.col(c)).alias(c) for c in ("harmonic_energy", "percussive_energy", "percussive_ratio")])
 
 

@@ -98,6 +98,30 @@ def test_hpss_and_vocal_do_not_depend_on_chunks(spark):
     np.testing.assert_allclose(v[0], v[1], atol=1e-12)
 
 
+def test_hpss_of_missing_magnitudes_and_of_a_chunk_with_only_edge_rows(spark):
+    # Frames 0..8 in chunks of 16: the second chunk holds frame 8 as an edge row and none of its own.
+    rng = np.random.default_rng(4)
+    mags = [np.abs(rng.normal(size=12)).tolist() for _ in range(9)]
+    mags[2], mags[5] = None, mags[5][:7]
+    mags[6] = [None if b == 3 else x for b, x in enumerate(mags[6])]
+    frames = spark.createDataFrame([(1, f, m) for f, m in enumerate(mags)] + [(2, 0, None)], "track_id bigint, frame bigint, mags array<double>")
+    cell = np.full((9, 12), np.nan)
+    for f, m in enumerate(mags):
+        cell[f, :len(m or [])] = [np.nan if x is None else x for x in m or []]
+    parts = {(r["track_id"], r["frame"]): r for r in sp.hpss(frames, chunk=16).collect()}
+    assert len(parts) == 10 and parts[2, 0]["harmonic"] == [] and parts[1, 2]["percussive"] == [] and parts[1, 6]["harmonic"][3] is None
+    for f, m in enumerate(mags):
+        assert len(parts[1, f]["harmonic"]) == len(m or [])
+        for b, x in enumerate(m or []):
+            if x is not None:
+                h, p = np.nanmedian(cell[:, b]), np.nanmedian(cell[f, max(0, b - 8):b + 9])
+                assert parts[1, f]["harmonic"][b] == pytest.approx(x * h / (h + p)) and parts[1, f]["percussive"][b] == pytest.approx(x * p / (h + p))
+    energy = {r["track_id"]: r for r in sp.hpss_energy(sp.hpss(frames, chunk=16)).collect()}
+    known = [x for m in mags for x in m or [] if x is not None]
+    assert energy[1]["harmonic_energy"] + energy[1]["percussive_energy"] == pytest.approx(sum(known))
+    assert energy[2]["harmonic_energy"] is None and energy[2]["percussive_ratio"] is None
+
+
 def plain_beats(env, bpm, rate, tightness=100.0):
     """The recurrence over a whole track in one loop."""
     period = 60 * rate / bpm
