@@ -175,8 +175,27 @@ def read_collection_document(spark: SparkSession, file: str) -> DataFrame:
     return _collection(spark, file)
 
 
+# A start tag that closes itself, from behind its name: quoted values may hold any character.
+_CLOSED = """^(?:[^"'<>/]++|/(?!>)|"[^"]*+"|'[^']*+')*+/>"""
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame | None:
+    """TRACK elements of XML files as rows, files cut at the elements; None if comments or CDATA sections may hide some."""
+    pieces = spark.read.option("lineSep", "<TRACK").text(path)
+    if not pieces.where(F.col("value").contains("<!--") | F.col("value").contains("<![CDATA[")).isEmpty():
+        return None
+    closed = F.regexp_extract("value", _CLOSED, 0)
+    inner = F.when(closed != "", closed).otherwise(F.concat(F.substring_index("value", "</TRACK", 1), F.lit("</TRACK>")))
+    parsed = F.from_xml(F.concat(F.lit("<TRACK"), inner), READ_SCHEMA)
+    # Read out of a generator, so that the filter on a field does not parse the element again.
+    return pieces.where(F.col("value").rlike("^[\\s/>]")).select(F.inline(F.array(parsed)))
+
+
 def _collection(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.format("xml").schema(READ_SCHEMA).option("rowTag", "TRACK").load(path).where("_TrackID is not null")
+    x = _elements(spark, path)
+    if x is None:
+        x = spark.read.format("xml").schema(READ_SCHEMA).option("rowTag", "TRACK").load(path)
+    x = x.where("_TrackID is not null")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(x.schema[c].dataType))
     return x.select(F.col("_TrackID").alias("track_id"), F.col("_Name").alias("name"), F.coalesce("_Artist", F.lit("")).alias("artist"),
                     F.col("_AverageBpm").alias("average_bpm"), F.coalesce("_Tonality", F.lit("")).alias("tonality"),

@@ -38,3 +38,27 @@ def test_lines_follow_the_numbers_of_their_parts(spark):
     rows = co.read_m3u8(spark, folder).orderBy("duration_sec").collect()
     assert [(r["duration_sec"], r["label"], r["path"]) for r in rows] == [(1.0, "a - b", "/one"), (2.0, "c", "/two")]
     assert checkpoint_folder(spark)
+
+
+def test_a_document_is_read_in_parts(spark):
+    body = "".join(f'<TRACK TrackID="{i}" Name="a/&gt; > b {i}" Artist=\'"/>\'{"/>" if i % 2 else f"><TEMPO Inizio=" + chr(34) + "0.5" + chr(34) + "/></TRACK>"}\n'
+                   for i in range(1, 2001))
+    text = f'<?xml version="1.0"?>\n<COLLECTION Entries="2000">\n{body}</COLLECTION>\n<PLAYLISTS><TRACK Key="1"/><TRACKS TrackID="0"/></PLAYLISTS>\n'
+    folder = scratch_folder(spark, "parts")
+    file = f"{folder.removeprefix('file:')}.xml"
+    with open(file, "w") as f:
+        f.write(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        tracks = co.read_collection_document(spark, file)
+        assert tracks.rdd.getNumPartitions() > 4
+        rows = {r["track_id"]: r for r in tracks.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows) == list(range(1, 2001))
+    assert all(r["name"] == f"a/> > b {i}" and r["artist"] == '"/>' and len(r["tempos"]) == 1 - i % 2 for i, r in rows.items())
+    # what a comment hides is no track
+    with open(file, "w") as f:
+        f.write(text.replace('<PLAYLISTS>', '<!-- <TRACK TrackID="7777"/> --><PLAYLISTS>'))
+    assert co.read_collection_document(spark, file).where("track_id = 7777").count() == 0
