@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cratewise.llm.storage import joined_small, stored
 from cratewise.llm.text import WHITE_SPACE, words
+from cratewise.operators.ordered import grouped_quantiles
 from cratewise.session import cut_lineage
 
 SYMBOLS = "[#*$%&|<>]"
@@ -38,33 +40,32 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
             .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))))
 
 
-def trusted_sample(labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` trusted documents of the labelled ones, in the order of a hash of their ids.
+def trusted_sample(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """The trusted documents of the labelled ones; with ``limit`` at most so many, in the order of a hash of their ids.
 
     ``_part`` is 0 for documents that train the multinomial, 1 for those that
     place the threshold. A document with several labels counts by its worst.
     """
-    return (labels.where("doc_id is not null").groupBy("doc_id")
-            .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-            .where("quality = 1 and toxic = 0")
-            .select("doc_id", F.xxhash64("doc_id").alias("_order"))
-            .orderBy("_order").limit(limit)
-            .select("doc_id", F.pmod("_order", F.lit(2)).alias("_part")))
+    trusted = (labels.where("doc_id is not null").groupBy("doc_id")
+               .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+               .where("quality = 1 and toxic = 0")
+               .select("doc_id", F.xxhash64("doc_id").alias("_order")))
+    if limit is not None:
+        trusted = trusted.orderBy("_order").limit(limit)
+    return trusted.select("doc_id", F.pmod("_order", F.lit(2)).alias("_part"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", buckets: int = 1 << 16,
-                orders: tuple[int, ...] = (1,), label_limit: int = 40_000, smoothing: float = 1.0,
-                loss: float = 0.01) -> QualityModel:
-    """Count the hashed n-grams of all ``docs`` and of a trusted sample of ``labels``.
-
-    ``label_limit`` bounds the trusted sample (a documented bound of the
-    classifier's labelled rows, hence of the broadcast); corpus counts cover
-    every row. ``loss`` is the share of held-out trusted documents that may
-    score below the threshold. Without held-out trusted documents nothing falls
-    below it.
+                orders: tuple[int, ...] = (1,), smoothing: float = 1.0, loss: float = 0.01) -> QualityModel:
+    """Count the hashed n-grams of all ``docs`` and of all trusted ones by ``labels``.
+
+    Half of the trusted documents train the multinomial, the others place the
+    threshold; their ids are broadcast while they are few. ``loss`` is the share
+    of held-out trusted documents that may score below the threshold. Without
+    held-out trusted documents nothing falls below it.
     """
-    sample = F.broadcast(trusted_sample(labels, label_limit))
-    marked = docs.select("doc_id", F.col(text).alias("_text")).join(sample, "doc_id", "left")
+    trusted_ids = stored(trusted_sample(labels), "trusted")
+    marked = joined_small(docs.select("doc_id", F.col(text).alias("_text")), trusted_ids, ["doc_id"], "left")
     trusted = (F.coalesce("_part", F.lit(1)) == 0).cast("long").alias("_trusted")
     if orders == (1,):  # single words need no array of hashes
         exploded = marked.select(trusted, F.explode_outer(words(F.col("_text"))).alias("_word")).where("_word is not null").select("_trusted", F.xxhash64("_word").alias("_gram"))
@@ -82,10 +83,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", bucke
 
     weights = cut_lineage(row.select(F.transform("c", lambda x: F.when(F.col("good") == 0, F.lit(0.0)).otherwise(
         share(x["_good"], F.col("good")) - share(x["_raw"], F.col("raw")))).alias("weights")))
-    held_out = docs.select("doc_id", F.col(text).alias("_text")).join(sample.where("_part = 1"), "doc_id", "left_semi")
-    scored = _with_score(_hashed(held_out, "_text"), weights, buckets, orders)
-    threshold = cut_lineage(scored.where("llr is not null").agg(
-        F.coalesce(F.percentile("llr", F.lit(loss)), F.lit(float("-inf"))).alias("threshold")))
+    held_out = joined_small(docs.select("doc_id", F.col(text).alias("_text")), trusted_ids.where("_part = 1"), ["doc_id"], "left_semi")
+    scored = stored(_with_score(_hashed(held_out, "_text"), weights, buckets, orders).select(F.lit(0).alias("_all"), "llr"), "held-out")
+    threshold = cut_lineage(grouped_quantiles(scored, ["_all"], "llr", {"threshold": loss}).agg(
+        F.coalesce(F.max("threshold"), F.lit(float("-inf"))).alias("threshold")))
     return QualityModel(weights, threshold, buckets, orders)
 
 
