@@ -30,7 +30,7 @@ from cratewise.llm.storage import stored
 from cratewise.llm.text import mix, slices, word_hashes
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 8 << 20  # of text in a batch, if no single text is longer
+BATCH_BYTES = 5 << 20  # of text in a batch, if no single text is longer
 BUCKET_WORDS = 1_000_000  # words of the corpus per bucket and order
 
 
