@@ -132,6 +132,8 @@ def _best_over_offsets(correlation: np.ndarray, n_left: np.ndarray, n_right: np.
             continue
         overlap = np.minimum(n_left, n_right + offset) - max(0, offset)
         usable = overlap >= MIN_OVERLAP
+        if not usable.any():
+            continue
         bits = np.where(usable, overlap * BITS_PER_WORD, 1)
         differing = (bits - np.rint(correlation[offset % size])) / 2
         best = np.maximum(best, np.where(usable, 1 - differing / bits, 0.0))

@@ -161,7 +161,7 @@ def fingerprint(spark, sf):
 
 @query("dup_candidates", oracle("cells", f"WITH {_WORDS}, {_SCORES} SELECT i, j, {sql6('score')} AS score FROM edges WHERE score >= {NOISE_THRESHOLD}"))
 def dup_candidates(spark, sf):
-    e = du.similar_edges(prints(spark, sf), NOISE_THRESHOLD, block=4)
+    e = du.similar_edges(prints(spark, sf), NOISE_THRESHOLD)
     return e.select("i", "j", round6(F.col("score")).alias("score"))
 
 

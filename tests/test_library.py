@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cratewise.operators import duplicates as du, ranking as rk
 from cratewise.operators.ordered import with_neighbour, with_position
-from cratewise.plans import views as v
+from cratewise.plans import duplicate_queries as dq, views as v
 from cratewise.sources.folders import scan_folder, scratch_folder
 from cratewise.streaming import jobs as jb, projection as pj, replay as rp
 
@@ -109,6 +109,34 @@ def test_recommend_all_with_a_third_of_copies(spark, monkeypatch, cell):
     assert got == brute_force([r.asDict() for r in df.collect()], 5)
 
 
+def test_dup_candidates_sends_a_print_to_few_cells(spark, tmp_path, monkeypatch):
+    """Cells follow the tasks, not the prints: 160 prints are a few blocks, and all pairs are compared."""
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(160 * 50)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sent = []
+    kept = du.similar_edges
+
+    def counted(prints, threshold, **how):
+        cells = []
+        monkeypatch.setattr(du.F, "inline", lambda c: cells.append(c) or inline(c))
+        edges = kept(prints, threshold, **how)
+        monkeypatch.setattr(du.F, "inline", inline)
+        sent.append(prints.limit(1).select(F.lit(0).alias("_b")).select(F.size(cells[0])).first()[0])
+        return edges
+
+    inline = F.inline
+    monkeypatch.setattr(du, "similar_edges", counted)
+    got = {(r["i"], r["j"]): r["score"] for r in dq.dup_candidates(spark, str(tmp_path)).collect()}
+    assert sent[0] <= 8
+    prints = {r["id"]: np.array(r["words"], np.uint32) for r in dq.prints(spark, str(tmp_path)).collect()}
+    some = sorted(prints)[:30]
+    for i, j in itertools.combinations(some, 2):
+        score = max(1 - np.bitwise_count(a ^ b).sum() / (24 * len(a)) for o in range(-8, 9, 2)
+                    for a, b in [(prints[i][max(0, o):49 + min(0, o)], prints[j][max(0, -o):49 + min(0, -o)])])
+        assert (round(score, 6) == round(got[i, j], 6)) if score >= dq.NOISE_THRESHOLD else (i, j) not in got
+
+
 def test_ordered_helpers_with_a_hot_group(spark):
     rng = random.Random(1)
     rows = [(("hot" if rng.random() < 0.6 else rng.choice("abc")), i, rng.randint(0, 9)) for i in range(500)]
