@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP = 8  # targets that a source reads of a bucket at a time
-SOURCES = 256  # sources that are worked on together
+STEP = 16  # targets that a source reads of a bucket at a time
+BOUNDS = 1 << 15  # bounds, of a source and a bucket, that are worked on together
 MOST_BUCKETS = 4096
+FEW_BUCKETS = 32
+BUCKET_ROWS = 64  # targets of a bucket, on the average, before there are more buckets than few
 NAMES = 1 << 40  # above every name position
 SLACK = 1e-9  # scores are compared up to rounding
 RATIOS = (0.0, 1.0, -1.0)
@@ -26,13 +28,15 @@ class Cell:
 
     def __init__(self, targets: dict[str, np.ndarray]) -> None:
         fixed = np.stack([targets["energy"], targets["section"], targets["recent"]], axis=1).astype(float)
+        # A source looks at every bucket, so they are fewer than the targets.
+        most = min(MOST_BUCKETS, max(FEW_BUCKETS, len(fixed) // BUCKET_ROWS))
         _, plain = np.unique(fixed, axis=0, return_inverse=True)
         plain = plain.ravel().astype(np.int64)
         for per_octave, shades in ((1024, 128), (512, 64), (512, 16), (256, 16), (128, 8), (64, 8), (32, 4), (16, 4), (4, 2), (1, 1)):
             tempo = np.floor(targets["log"] * per_octave).astype(np.int64)
             shade = np.floor(np.clip(targets["vocal"], 0, 1) * shades).astype(np.int64)
             code = (plain * (shades + 1) + shade) * (1 << 24) + tempo - tempo.min()
-            if len(np.unique(code)) <= MOST_BUCKETS:
+            if len(np.unique(code)) <= most:
                 break
         self.order = np.lexsort((targets["name"], code))
         for name, values in targets.items():
@@ -52,8 +56,9 @@ def best_pairs(sources: dict[str, np.ndarray], cell: Cell, k: int, weights: dict
     ``h`` (the key's score) and ``floor``, under which a total need not be found.
     """
     found_s, found_t, scored = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for at in range(0, len(sources["log"]), SOURCES):
-        s = {name: values[at:at + SOURCES] for name, values in sources.items()}
+    together = min(1024, max(16, BOUNDS // len(cell.starts)))
+    for at in range(0, len(sources["log"]), together):
+        s = {name: values[at:at + together] for name, values in sources.items()}
         rows, cols, n = _chunk(s, cell, k, weights, tolerance, artist_penalty, recent_penalty)
         found_s.append(rows + at)
         found_t.append(cols)
@@ -85,7 +90,7 @@ def _chunk(s, cell: Cell, k, weights, tolerance, artist_penalty, recent_penalty)
     keys = np.where(bound > least[:, None], points - cell.name[first][None, :], np.iinfo(np.int64).min)
     place = np.broadcast_to(first, keys.shape).copy()
     top = np.full((n, k), np.iinfo(np.int64).min)
-    rows_out, cols_out, scored = [], [], 0
+    rows_out, cols_out, hopes, scored = [], [], [], 0
     everyone = np.arange(n)
     while True:
         bucket = keys.argmax(axis=1)
@@ -116,6 +121,7 @@ def _chunk(s, cell: Cell, k, weights, tolerance, artist_penalty, recent_penalty)
         r, c = np.nonzero(keep)
         rows_out.append(active[r])
         cols_out.append(cols[r, c])
+        hopes.append(hoped[r, c])
         both = np.concatenate([top[active], sure], axis=1)
         top[active] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
         begin = begin + STEP
@@ -125,4 +131,6 @@ def _chunk(s, cell: Cell, k, weights, tolerance, artist_penalty, recent_penalty)
         keys[active, b] = np.where(left, points[active, b] - following, np.iinfo(np.int64).min)
     if not rows_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), scored
-    return np.concatenate(rows_out), np.concatenate(cols_out), scored
+    rows, cols = np.concatenate(rows_out), np.concatenate(cols_out)
+    keep = np.concatenate(hopes) >= top.min(axis=1)[rows]
+    return rows[keep], cols[keep], scored

@@ -179,9 +179,10 @@ def _keys_and_scores() -> Column:
 
 
 # Cells of more candidates are dense: they are read by bounds, in parts of so many candidates and sources.
-CELL_ROWS = 4096
+CELL_ROWS = 32
 DENSE_CANDIDATES = 1 << 18
 DENSE_SOURCES = 1 << 14
+ASKED_OF = 16  # one source in so many is counted to size these parts
 
 
 def _dense_pairs(k: int, artist_penalty: float, columns: list[str]):
@@ -232,7 +233,8 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
        own list.
 
     A source scores at most ``CELL_ROWS`` candidates of a cell, and in a dense
-    cell those that its own bounds leave.
+    cell those that its own bounds leave, so that its work does not follow the
+    size of the library.
     """
     # Name order as a number: one distributed sort instead of collated string
     # comparisons in every later step.
@@ -269,8 +271,10 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
         pairs = probes.repartition(tasks, "sid").join(F.broadcast(table), on)
         scored = _scored(pairs, F.col, lambda c: F.col(f"c_{c}"), artist_penalty).select("sid", "total")
         w = Window.partitionBy("sid").orderBy(F.desc("total"))
+        # Whatever rounds to fewer points than this one cannot rank; steps 3 and 4 take off 0.01 again.
+        points = half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") - 1e-9)) * 100)
         return (scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k + 1)
-                .select("sid", F.col("total").alias("floor")))
+                .select("sid", F.when(points > 0, (points + 0.5) / 100).otherwise(-1.0).alias("floor")))
 
     near = (sources.select("*", F.inline(F.filter(_keys_and_scores(), lambda x: x["h"] > 0.5)))
             .withColumn("to_energy", F.explode(F.sequence(F.col("energy") - 1, F.col("energy") + 2))))
@@ -313,11 +317,14 @@ def recommend_all(tracks: DataFrame, k: int = 8, artist_penalty: float = ARTIST_
         held = F.broadcast(dense) if few else dense
         sparse = (probing.join(held, keys, "left_anti").repartition(tasks, *keys)
                   .join(targets.join(held, keys, "left_anti"), keys).select(*columns))
-        asked = probing.join(held, keys).groupBy(*keys, "_held").agg(F.count(F.lit(1)).alias("_ask"))
-        blocks = cut_lineage(asked.select(*keys, F.ceil(F.col("_held") / DENSE_CANDIDATES).cast("int").alias("_parts"),
-                                          F.ceil(F.col("_ask") / DENSE_SOURCES).cast("int").alias("_blocks")))
+        # An estimate, since it decides only how many tasks share the sources of a cell.
+        counted = probing.where(F.pmod(F.xxhash64("sid"), F.lit(ASKED_OF)) == 0)
+        asked = counted.join(held, keys).groupBy(*keys).agg((F.count(F.lit(1)) * ASKED_OF).alias("_ask"))
+        blocks = cut_lineage(dense.join(asked, keys, "left").select(
+            *keys, F.ceil(F.col("_held") / DENSE_CANDIDATES).cast("int").alias("_parts"),
+            F.ceil(F.coalesce("_ask", F.lit(1)) / DENSE_SOURCES).cast("int").alias("_blocks")))
         blocks = F.broadcast(blocks) if few else blocks
-        asking = (probing.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
+        asking = (probing.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("_blocks")).cast("int"))
                   .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))))
         offered = (targets.join(blocks, keys).withColumn("_part", F.pmod(F.xxhash64("c_id"), F.col("_parts")).cast("int"))
                    .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))

@@ -53,6 +53,31 @@ def test_floor_and_small_cells():
     assert not len(bounded_top.best_pairs(s, bounded_top.Cell(t), 9, rk.WEIGHTS, 0.06, 0.12, 0.25)[0])
 
 
+@pytest.mark.parametrize("n", [200, 1_000, 6_000])
+def test_a_source_looks_at_few_buckets_and_keeps_few_pairs(n):
+    rng = np.random.default_rng(n)
+    t, s = targets(rng, n, 1 / 64), sources(rng, 60, 1 / 64)
+    cell = bounded_top.Cell(t)
+    assert len(cell.starts) <= max(128, n // 64)  # kinds of energy, section and recency: up to 100
+    rows, cols, _ = bounded_top.best_pairs(s, cell, 9, rk.WEIGHTS, 0.06, 0.12, 0.25)
+    for i in range(60):
+        assert every_pair(s, t, i, 9) <= set(cols[rows == i])
+    assert len(rows) <= 60 * 10  # the best 9 and what rounding leaves open
+
+
+def test_scores_of_nothing_tie_whatever_lies_under_them(spark):
+    """Penalties take totals below zero; all of them count as 0 points, in the order of names."""
+    rows = [(999, "source", "x", 100.0, 1, "A", 5, 1.0, 0.25, True, True)]
+    rows += [(i, f"z{i}", "x", 120.0, 2, "A", 4, 1.0, 0.25, True, True) for i in range(8)]
+    rows += [(20 + i, f"a{i}", "x", 120.0, 6, "A", 4, 1.0, 0.25, True, True) for i in range(8)]
+    df = spark.createDataFrame(rows, "id bigint, name string, artist string, bpm double, wheel int, letter string, energy int, "
+                                     "vocal double, section_score double, recent boolean, analysed boolean")
+    got = {}
+    for r in rk.recommend_all(df.withColumn("section", F.lit(None).cast("string")), 5).orderBy("from_id", "rank").collect():
+        got.setdefault(r["from_id"], []).append(r["to_id"])
+    assert got == brute_force([r.asDict() for r in df.collect()], 5)
+
+
 def test_most_of_a_library_in_one_cell(spark, monkeypatch):
     """Six of ten tracks share key and tempo; cells are dense from 20 tracks on, and cut into parts."""
     monkeypatch.setattr(rk, "CELL_ROWS", 20)
