@@ -74,42 +74,70 @@ def windows_with_late(events: DataFrame, folder: str, length: str = "1 hour", de
 
 
 _LEASE_OUT = "job_id bigint, expired_at timestamp, attempts int, outcome string"
+# What is kept of a job: whether its last status is running, that row's time, the claims so far, and the watermark (ms) past which its timer fires.
+_JOB = np.dtype([("job", "i8"), ("running", "?"), ("last", "i8"), ("attempts", "i4"), ("due", "i8")])
+_NEVER = np.iinfo(np.int64).max
 
 
 def expired_leases(events: DataFrame, lease_sec: int = LEASE_SEC, max_attempts: int = MAX_ATTEMPTS,
-                   delay: str = "10 minutes") -> DataFrame:
+                   delay: str = "10 minutes", groups: int = 512) -> DataFrame:
     """Running jobs without a sign of life for the lease: requeued, or failed when out of attempts.
 
     Streaming only. The state of a job is its last status, its time and the
     attempts so far; an event-time timer fires when the watermark passes the
-    end of the lease.
+    end of the lease. Jobs are dealt by hash into ``groups``, whose jobs are
+    stepped together by arrays, as a call of the step costs far more than its
+    rows; a group's timer is the earliest of its jobs. A checkpoint holds for
+    the ``groups`` it was begun with.
     """
     lease = lease_sec * 1_000_000
 
-    def outcomes(job, last, attempts) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": np.full(len(last), job), "expired_at": (last + lease).astype("datetime64[us]"),
+    def outcomes(key, job, last, attempts) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": np.full(len(job), None) if key[0] < 0 else job, "expired_at": (last + lease).astype("datetime64[us]"),
                              "attempts": attempts.astype(np.int32), "outcome": np.where(attempts >= max_attempts, "failed", "requeued")})
 
     def step(key, batches, state: GroupState):
-        status, last, attempts = state.get if state.exists else ("", 0, 0)
-        if state.hasTimedOut:
-            yield outcomes(key[0], np.array([last]), np.array([attempts]))
-            state.update(("requeued", last, attempts))
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        at = rows["at"].to_numpy("datetime64[us]").astype(np.int64)
-        running = (rows["status"] == "running").to_numpy(bool)
-        # each row beside the one before it; the first beside the state
-        before, was = np.append(last, at[:-1]), np.append(status == "running", running[:-1])
-        expired = was & (at - before > lease)
-        claims = attempts + np.cumsum(running & (~was | expired))
-        yield outcomes(key[0], before[expired], np.append(attempts, claims[:-1])[expired])
-        state.update((rows["status"].iloc[-1], int(at[-1]), int(claims[-1])))
-        if running[-1]:
-            state.setTimeoutTimestamp(max(int(at[-1] + lease) // 1000, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("at", delay).groupBy("job_id").applyInPandasWithState(
-        step, _LEASE_OUT, "status string, last_us bigint, attempts int", "append", GroupStateTimeout.EventTimeTimeout)
+        known = np.frombuffer(state.get[0], _JOB) if state.exists else np.zeros(0, _JOB)
+        rows = None if state.hasTimedOut else pd.concat(list(batches)).sort_values(["job", "at", "event_id"])
+        ids = known["job"] if rows is None else np.union1d(known["job"], rows["job"].to_numpy())
+        jobs = np.zeros(len(ids), _JOB)
+        jobs["job"], jobs["due"] = ids, _NEVER
+        jobs[np.searchsorted(ids, known["job"])] = known
+        watermark, out = state.getCurrentWatermarkMs(), []
+        if rows is not None:
+            job = rows["job"].to_numpy()
+            at = rows["at"].to_numpy("datetime64[us]").astype(np.int64)
+            running = rows["running"].to_numpy(bool)
+            first = np.append(True, job[1:] != job[:-1])
+            final = np.append(first[1:], True)
+            own = np.searchsorted(ids, job)
+            # each row beside the one before it; a job's first beside its state
+            before = np.where(first, jobs["last"][own], np.roll(at, 1))
+            was = np.where(first, jobs["running"][own], np.roll(running, 1))
+            expired = was & (at - before > lease)
+            claim = running & (~was | expired)
+            count = np.cumsum(claim)
+            claims = jobs["attempts"][own] + count - (count - claim)[first][np.cumsum(first) - 1]
+            out.append((job[expired], before[expired], (claims - claim)[expired]))
+            own = own[final]
+            jobs["running"][own], jobs["last"][own], jobs["attempts"][own] = running[final], at[final], claims[final]
+            jobs["due"][own] = np.where(running[final], np.maximum((at[final] + lease) // 1000, watermark + 1), _NEVER)
+        gone = jobs["due"] < watermark
+        out.append((jobs["job"][gone], jobs["last"][gone], jobs["attempts"][gone]))
+        if any(len(job) for job, _, _ in out):
+            yield outcomes(key, *map(np.concatenate, zip(*out)))
+        jobs["running"][gone], jobs["due"][gone] = False, _NEVER
+        state.update((jobs.tobytes(),))
+        if (jobs["due"] < _NEVER).any():
+            state.setTimeoutTimestamp(int(jobs["due"].min()))
+
+    # a job without an id is in a group of its own, so that ids stay whole numbers
+    group = F.when(F.col("job_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("job_id"), F.lit(groups)).cast("int"))
+    rows = events.withWatermark("at", delay).select(
+        group.alias("group"), F.coalesce(F.col("job_id").cast("bigint"), F.lit(0)).alias("job"), "at", "event_id",
+        F.coalesce(F.col("status") == "running", F.lit(False)).alias("running"))
+    return rows.groupBy("group").applyInPandasWithState(
+        step, _LEASE_OUT, "jobs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_leases_batch(events: DataFrame, lease_sec: int = LEASE_SEC, max_attempts: int = MAX_ATTEMPTS,
